@@ -5,13 +5,14 @@ A document's set holds its distinct K-word shingles.  Documents link when
 
 1. Equal sets collapse to one representative, the smallest doc_id.
 2. Candidates.  Two linked sets of which the larger has n elements differ in at
-   most D(n) of them.  Elements are dealt by hash into D + 1 parts, so at least
-   one part is the same in both: sets meet under the sum of a part's hashes.
-   Sizes are classed so that linked sets are in one class or in neighbouring
-   ones.  Should the only equal part be an empty one, they meet under that part
-   with one of their first elements, of which linked sets share one (prefix
-   filter).  Thus no link is lost.  Within a bucket only edges to its smallest
-   member are kept, as many as rows.
+   most D(n) of them.  Elements are dealt by hash into M > D parts, so at least
+   M - D parts are the same in both: sets meet under keys that are the sum of a
+   part's hashes.  Sizes are classed so that linked sets are in one class or in
+   neighbouring ones.  A set that shares fewer than M - D keys (less its own
+   empty parts) with all others together has no link.  Sets so small that all
+   equal parts may be empty also meet under their first elements, of which
+   linked sets share one (prefix filter).  Thus no link is lost.  Of a key only
+   the edges to its smallest member are kept, as many as rows.
 3. The candidate edges' components are the groups that are partitioned further:
    by size class, and by hash into blocks of at most about BLOCK sets.
 4. A task takes one pair of blocks.  Its sets are dealt into small groups of
@@ -39,6 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import textkit as tk
+from .arrays import pack, unpack
 from .components import components
 from .store import cut, width
 
@@ -46,6 +48,7 @@ K = 5
 PERCENT = 80
 BLOCK = 256
 GROUP = 16
+SPARE = 0.2
 _SEED_A, _SEED_B = np.uint64(0x632BE59BD9B4E019), np.uint64(0xE220A8397B1DCDAF)
 
 
@@ -60,9 +63,10 @@ class Classes:
     def of(self, n: np.ndarray) -> np.ndarray:
         return np.floor(np.log(np.maximum(n, 1)) / self.ratio).astype(np.int64)
 
-    def parts(self, label: np.ndarray) -> np.ndarray:
-        """For sets of classes label - 1 and label: the most differing elements, and one."""
-        return np.floor(2 * np.exp((label + 1) * self.ratio) * self.spread + 1e-6).astype(np.int64) + 1
+    def parts(self, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For sets of classes label - 1 and label: the most elements in which linked ones differ, and the number of parts."""
+        differ = np.floor(2 * np.exp((label + 1) * self.ratio) * self.spread + 1e-6).astype(np.int64)
+        return differ, np.ceil((differ + 1) / (1 - SPARE)).astype(np.int64)
 
     def first(self, n: np.ndarray) -> np.ndarray:
         """Number of first elements of which linked sets share one."""
@@ -89,18 +93,19 @@ def _digests(h: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
         return tk.mix(_sum_by(owner, tk.mix(h + _SEED_A), n)).view(np.int64), tk.mix(_sum_by(owner, tk.mix(h ^ _SEED_B), n)).view(np.int64)
 
 
-def part_keys(h: np.ndarray, offsets: np.ndarray, classes: Classes) -> tuple[np.ndarray, np.ndarray]:
-    """Keys under which sets meet, with the sets' numbers."""
+def part_keys(h: np.ndarray, offsets: np.ndarray, classes: Classes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Keys under which sets meet, with the sets' numbers and which label they are of (0 or 1), and for each set and label how many keys a linked set shares with it at least."""
     n = len(offsets) - 1
     sizes = np.diff(offsets)
     owner = np.repeat(np.arange(n), sizes)
     rank = np.arange(len(h)) - offsets[:-1][owner]
     own = classes.of(sizes)
-    keys, owners = [], []
+    keys, owners, labels, least = [], [], [], np.ones((2, n), dtype=np.int64)
     with np.errstate(over="ignore"):
         spread, value = tk.mix(h + np.uint64(77)) >> np.uint64(32), tk.mix(h ^ np.uint64(0x51ED270B))
-        for label in (own, own + 1):
-            m = np.where(sizes > 0, classes.parts(label), 0)
+        for which, label in enumerate((own, own + 1)):
+            differ, m = classes.parts(label)
+            m = np.where(sizes > 0, m, 0)
             base = np.concatenate([[0], np.cumsum(m)])
             part = (spread * m[owner].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
             slot = base[:-1][owner] + part
@@ -112,14 +117,17 @@ def part_keys(h: np.ndarray, offsets: np.ndarray, classes: Classes) -> tuple[np.
             salt = tk.mix(label[of].astype(np.uint64) << np.uint64(40) | number.astype(np.uint64))
             keys.append(tk.mix(sums[full] + salt[full]))
             owners.append(of[full])
-            empty = np.flatnonzero(~full)
-            if len(empty):
-                first = rank < classes.first(sizes)[owner]
-                starts, lengths = offsets[:-1][of[empty]], np.bincount(owner[first], minlength=n)[of[empty]]
-                at = np.repeat(starts, lengths) + np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-                keys.append(tk.mix((h[at] ^ np.uint64(0xA5A5A5A5)) + np.repeat(salt[empty], lengths) * np.uint64(3)))
-                owners.append(np.repeat(of[empty], lengths))
-    return np.concatenate(keys), np.concatenate(owners)
+            empty = np.bincount(of[~full], minlength=n)
+            spare = m - differ - empty
+            least[which] = np.maximum(spare, 1)
+            # all equal parts may be empty ones: such sets also meet under their first elements
+            weak = np.flatnonzero((spare < 1) & (sizes > 0))
+            if len(weak):
+                first = (rank < classes.first(sizes)[owner]) & np.isin(owner, weak)
+                keys.append(tk.mix((h[first] ^ np.uint64(0xA5A5A5A5)) + tk.mix(label[owner[first]].astype(np.uint64)) * np.uint64(3)))
+                owners.append(owner[first])
+            labels.append(np.full(len(keys[-1]) if not len(weak) else len(keys[-1]) + len(keys[-2]), which, dtype=np.int64))
+    return np.concatenate(keys), np.concatenate(owners), np.concatenate(labels), least
 
 
 def _facts(docs: DataFrame, k: int) -> DataFrame:
@@ -133,23 +141,32 @@ def _facts(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, d1 long, d2 long")
 
 
-def _candidates(docs: DataFrame, k: int, classes: Classes) -> DataFrame:
-    """(a, b): sets by digest that share a key, as edges to the smallest digest of each key."""
+def _shared_keys(docs: DataFrame, k: int, classes: Classes) -> DataFrame:
+    """(key, id, lab, need): the keys that two sets or more have, with the sets' digests."""
     wide = width(docs.sparkSession)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: set[int] = set()
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        count = 0
+        held: list[tuple[np.ndarray, ...]] = []
+        count = sets = 0
 
         def flush() -> pa.RecordBatch:
-            keys, ids = np.concatenate([x for x, _ in held]), np.concatenate([y for _, y in held])
+            keys, mark, ids, least = (np.concatenate([x[i] for x in held], axis=-1) for i in range(4))
             to = (keys >> np.uint64(33)).astype(np.int64) % wide
             order = np.argsort(to, kind="stable")
-            keys, ids, ends = keys[order], ids[order], np.cumsum(np.bincount(to, minlength=wide))
-            rows = [i for i in range(wide) if ends[i] > (ends[i - 1] if i else 0)]
-            cut_at = lambda x, i: x[(ends[i - 1] if i else 0) : ends[i]].tobytes()
-            return pa.RecordBatch.from_pydict({"r": pa.array(rows, pa.int32()), "keys": pa.array([cut_at(keys, i) for i in rows], pa.binary()), "ids": pa.array([cut_at(ids, i) for i in rows], pa.binary())})
+            keys, mark, ends = keys[order], mark[order], np.cumsum(np.bincount(to, minlength=wide))
+            rows, blobs = [], []
+            for r in range(wide):
+                begin = ends[r - 1] if r else 0
+                if ends[r] == begin:
+                    continue
+                there, m = np.unique(mark[begin : ends[r]] >> 1, return_inverse=True)
+                m = m << 1 | mark[begin : ends[r]] & 1
+                low = keys[begin : ends[r]]
+                # 48 bits of each key are sent
+                blobs.append(pack((low & np.uint64(0xFFFFFFFF)).astype(np.int64), (low >> np.uint64(32) & np.uint64(0xFFFF)).astype(np.int64), m, ids[there].view(np.uint64), least[0][there], least[1][there]))
+                rows.append(r)
+            return pa.RecordBatch.from_pydict({"r": pa.array(rows, pa.int32()), "blob": pa.array(blobs, pa.binary())})
 
         for batch in batches:
             for block in tk.blocks(batch.column("text")):
@@ -158,33 +175,63 @@ def _candidates(docs: DataFrame, k: int, classes: Classes) -> DataFrame:
                 fresh = np.array([x not in known and not known.add(x) for x in d.tolist()], dtype=bool) & (np.diff(off) > 0)
                 if len(known) > 1_000_000:
                     known.clear()
-                keys, own = part_keys(h, off, classes)
+                keys, own, lab, least = part_keys(h, off, classes)
                 keep = fresh[own]
-                held.append((keys[keep], d[own[keep]]))
+                held.append((keys[keep], (own[keep] + sets) << 1 | lab[keep], d, least))
+                sets += len(block)
                 count += int(keep.sum())
-                if count > 2_000_000:
+                if count > 1_000_000:
                     yield flush()
-                    held, count = [], 0
+                    held, count, sets = [], 0, 0
         if count:
             yield flush()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, ids = [], []
-        for batch in batches:
-            keys += [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column("keys")]
-            ids += [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column("ids")]
-        if not keys:
+        parts = [unpack(x) for batch in batches for x in batch.column("blob").to_pylist()]
+        if not parts:
             return
-        key, own = np.concatenate(keys), np.concatenate(ids)
-        order = np.lexsort((own, key))
-        key, own = key[order], own[order]
+        key = np.concatenate([p[1].astype(np.int64) << 32 | p[0].astype(np.int64) for p in parts])
+        mark = np.concatenate([p[2].astype(np.int64) + 2 * b for p, b in zip(parts, np.cumsum([0, *[len(p[3]) for p in parts[:-1]]]), strict=True)])
+        ids, least = np.concatenate([p[3] for p in parts]).view(np.int64), [np.concatenate([p[i] for p in parts]) for i in (4, 5)]
+        del parts
+        order = np.argsort(key, kind="stable")
+        key, mark = key[order], mark[order]
         head = np.concatenate([[True], key[1:] != key[:-1]])
-        least = own[np.flatnonzero(head)[np.cumsum(head) - 1]]
-        edges = np.unique(np.stack([least, own])[:, least != own], axis=1)
-        yield pa.RecordBatch.from_pydict({"a": edges[0], "b": edges[1]})
+        runs = np.diff(np.append(np.flatnonzero(head), len(key)))
+        several = np.repeat(runs > 1, runs)
+        key, mark = key[several], mark[several]
+        own, lab = ids[mark >> 1], mark & 1
+        # copies of a set that other tasks dealt go
+        order = np.lexsort((lab, own, key))
+        key, mark, own, lab = key[order], mark[order], own[order], lab[order]
+        new = np.concatenate([[True], (key[1:] != key[:-1]) | (own[1:] != own[:-1]) | (lab[1:] != lab[:-1])]) if len(key) else np.zeros(0, bool)
+        key, mark, own, lab = key[new], mark[new], own[new], lab[new]
+        head = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, bool)
+        runs = np.diff(np.append(np.flatnonzero(head), len(key)))
+        several = np.repeat(runs > 1, runs)
+        key, mark, own, lab = key[several], mark[several], own[several], lab[several]
+        need = np.where(lab == 0, least[0][mark >> 1], least[1][mark >> 1]).astype(np.int64)
+        for i in range(0, len(key), 100_000):
+            s = slice(i, i + 100_000)
+            yield pa.RecordBatch.from_pydict({"key": key[s] << 14 | key[s] % 16381, "id": own[s], "lab": lab[s].astype(np.int32), "need": need[s].astype(np.int32)})
+
+    dealt = docs.select("doc_id", "text").mapInArrow(deal, "r int, blob binary")
+    return dealt.repartitionById(wide, F.col("r")).mapInArrow(meet, "key long, id long, lab int, need int")
+
+
+def _candidates(docs: DataFrame, k: int, classes: Classes) -> DataFrame:
+    """(a, b): sets by digest that share keys, as edges to the smallest digest of each key.
 
-    dealt = docs.select("doc_id", "text").mapInArrow(deal, "r int, keys binary, ids binary")
-    return dealt.repartitionById(wide, F.col("r")).mapInArrow(meet, "a long, b long")
+    A set that shares fewer keys with all others than a linked one would is
+    left out first, so that sets which have only a common line in common do not
+    hold groups together.
+    """
+    shared, _ = cut(_shared_keys(docs, k, classes))
+    enough = shared.groupBy("id", "lab").agg(F.count("*").alias("n"), F.max("need").alias("need")).filter("n >= need").select(F.col("id").alias("_i"), F.col("lab").alias("_l"))
+    enough, _ = cut(enough)
+    left, _ = cut(shared.join(enough, (F.col("id") == F.col("_i")) & (F.col("lab") == F.col("_l"))).select("key", "id"))
+    least, _ = cut(left.groupBy(F.col("key").alias("_k")).agg(F.min("id").alias("a")))
+    return left.join(least, F.col("key") == F.col("_k")).filter("a <> id").select("a", F.col("id").alias("b")).distinct()
 
 
 def links_within(sizes: np.ndarray, tokens: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple[int, int]]:
@@ -297,6 +344,7 @@ def _tokens(docs: DataFrame, k: int) -> DataFrame:
     from pyspark.sql import types as T
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[int] = set()
         for batch in batches:
             for block in tk.blocks(batch.column("text")):
                 h, off = _sets(block, k)
@@ -304,7 +352,9 @@ def _tokens(docs: DataFrame, k: int) -> DataFrame:
                 raw = [h[off[i] : off[i + 1]].tobytes() for i in range(len(block))]
                 part = batch.slice(block.first, len(block))
                 out = {c: part.column(c) for c in batch.schema.names if c != "text"} | {"tokens": pa.array(raw, pa.binary())}
-                yield pa.RecordBatch.from_pydict(out).filter(pa.array(d == part.column("d1").to_numpy(zero_copy_only=False)))
+                right = d == part.column("d1").to_numpy(zero_copy_only=False)
+                once = [bool(ok) and x not in done and not done.add(x) for ok, x in zip(right, part.column("rep").to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_pydict(out).filter(pa.array(once, pa.bool_()))
 
     rest = [f for f in docs.schema.fields if f.name != "text"]
     return docs.mapInArrow(run, T.StructType([*rest, T.StructField("tokens", T.BinaryType())]))
@@ -338,7 +388,7 @@ def near_join(docs: DataFrame, k: int = K, percent: int = PERCENT, block: int =
     whole = F.array(F.struct(pair(zero, zero, zero, zero).alias("p"), zero.alias("side")))
     p = p.select("rep", "d1", "grp", F.when(F.col("all") <= block, whole).otherwise(F.concat(same, above, below)).alias("pairs"))
     texts = docs.select(F.col("doc_id").alias("rep"), "text").join(p, "rep")
-    rows = _tokens(texts.select("rep", "d1", "grp", "pairs", "text"), k).dropDuplicates(["rep", "d1"])
+    rows = _tokens(texts.select("rep", "d1", "grp", "pairs", "text"), k)
     rows = rows.select("rep", "tokens", "grp", F.explode("pairs").alias("x"))
     rows = rows.select(F.xxhash64("grp", "x.p").alias("pair"), F.col("rep").alias("v"), F.col("x.side").alias("side"), "tokens")
     links = rows.repartition(wide, "pair").sortWithinPartitions("pair", "v").mapInArrow(_verify(percent), "a long, b long")
