@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import Window as W
 
-from .functions import pii, render, text as tx
+from .functions import json as js, pii, render, text as tx
 from .memory import Memory
-from .operators import analyzers, assemble, graph, privacy, ranking, scans, setops, stages, telemetry, versions, writes
+from .operators import analyzers, assemble, context, graph, privacy, ranking, scans, setops, stages, telemetry, versions, writes
 from .sources import tables as T
 from .streaming import feed, triggers
 
@@ -837,4 +837,34 @@ def bundle_export(spark, d):
     return writes.bundle(v, writes.log_of(v), 100_000_200).select(F.col("op_seq").alias("seq"), "op")
 
 
+# --- JSON, context, retention policies --------------------------------------------------------------------------------
+@query("SELECT count(*) FILTER (WHERE CAST(json_extract_string(props, '$.k') AS BIGINT) = 3) AS n_equal, count(*) FILTER (WHERE CAST(json_extract_string(props, '$.k') AS BIGINT) <> 0) AS n_true FROM events", plain=True)
+def edge_conditions(spark, d):
+    e = T.table(spark, d, "events")
+    return e.agg(F.count_if(js.edge_condition("k == 3", F.col("props"))).alias("n_equal"), F.count_if(js.edge_condition("k", F.col("props"))).alias("n_true"))
+
+
+@query("SELECT count(*) FILTER (WHERE CAST(json_extract_string(props, '$.k') AS BIGINT) BETWEEN 2 AND 5) AS n FROM events", plain=True)
+def schema_validation(spark, d):
+    e = T.table(spark, d, "events")
+    rule = {"required": ["k"], "properties": {"k": {"type": "integer", "minimum": 2, "maximum": 5}}}
+    return e.agg(F.count_if(js.fits_schema(F.col("props"), rule)).alias("n"))
+
+
+@query("SELECT a.subject, a.object AS old, b.object AS new FROM order_versions a JOIN order_versions b ON a.next_seq = b.seq")
+def knowledge_updates(spark, d):
+    return context.knowledge_updates(T.order_versions(spark, d)).select("subject", "old", "new")
+
+
+@query("SELECT session_id, count(*) AS n, min(created_at) AS first_at, max(created_at) AS last_at FROM chat_events GROUP BY session_id")
+def session_census(spark, d):
+    return context.census(T.chat_events(spark, d))
+
+
+@query(f"SELECT seq FROM grains WHERE (ns = 'tools.click' AND created_at < {NOW - 10 * DAY}) OR (ns = 'tools.view' AND created_at < {NOW - 25 * DAY})")
+def policy_sweep(spark, d):
+    p = spark.createDataFrame([("tools.click", 10 * DAY, False), ("tools.view", 25 * DAY, False), ("tools.error", DAY, True), ("geo", 0, False)], "ns string, max_age_ms long, hold boolean")
+    return privacy.policy_sweep(T.grains(spark, d), p, NOW).select("seq")
+
+
 __all__ = ["ORACLE", "QUERIES", "setops"]

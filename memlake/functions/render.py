@@ -131,7 +131,7 @@ def template(source: str, scope: dict) -> str:
         name, *filters = expr.split("|")
         v: object = scope_stack[-1]
         for p in name.strip().split("."):
-            v = (scope_stack[-1] if p == "this" else v.get(p)) if isinstance(v, dict) else v if p == "this" else None
+            v = v.get(p, v if p == "this" else None) if isinstance(v, dict) else None
         for f in filters:
             v = _apply(v, f)
         return v

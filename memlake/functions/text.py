@@ -106,3 +106,13 @@ def disclosure_tier(budget: Column, n: Column) -> Column:
 
 def iso_to_ms(c: Column) -> Column:
     return F.unix_millis(F.try_to_timestamp(c))
+
+
+def hmac_sha256(c: Column, key: bytes) -> Column:
+    """HMAC-SHA-256 of a text as hex, from two built-in digests."""
+    import hashlib
+
+    key = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
+    inner, outer = (F.lit(bytearray(b ^ x for b in key)) for x in (0x36, 0x5C))
+    first = F.unhex(F.sha2(F.concat(inner, F.encode(c, "utf-8")), 256))
+    return F.sha2(F.concat(outer, first), 256)

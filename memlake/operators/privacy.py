@@ -62,3 +62,17 @@ def permitted(grains: DataFrame, grants: DataFrame, principal: str, verb: str =
     exact = grains.join(own, "ns", "left_semi")
     rest = grains.join(own, "ns", "left_anti").join(F.broadcast(all_)).drop("_all")
     return exact.unionByName(rest)
+
+
+def rehydrate(rows: DataFrame, mapping: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """rows with each token in its text replaced by the mapping's value, by a join on the tokens that are there."""
+    found = rows.select(key, F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(r"\[[A-Z_]+_[0-9a-f]{8}\]"), F.lit(0)))).alias("token"))
+    pairs = found.join(mapping.select("token", "value"), "token").groupBy(key).agg(F.collect_list(F.struct("token", "value")).alias("_p"))
+    out = rows.join(pairs, key, "left")
+    return out.withColumn(text, F.aggregate(F.coalesce("_p", F.array().cast("array<struct<token:string,value:string>>")), F.col(text), lambda t, p: F.replace(t, p["token"], p["value"]))).drop("_p")
+
+
+def policy_sweep(grains: DataFrame, policies: DataFrame, now_ms: int) -> DataFrame:
+    """Grains past their namespace's max_age_ms, not under hold: what a retention sweep takes."""
+    rules = policies.filter(~F.coalesce("hold", F.lit(False))).select("ns", "max_age_ms")
+    return grains.join(rules, "ns").filter((F.col("max_age_ms") > 0) & (F.col("created_at") > 0) & (F.col("created_at") < now_ms - F.col("max_age_ms"))).drop("max_age_ms")

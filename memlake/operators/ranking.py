@@ -177,4 +177,17 @@ def multi_hop(grains: DataFrame, hits: DataFrame, hops: int, fan_out: int = 8, m
     return fresh.groupBy("hash", "seq").agg(F.min("hop").alias("hop"))
 
 
-__all__ = ["bm25", "cosine", "dedup_by", "expand_query", "jaccard", "mmr", "multi_hop", "near_duplicates", "nearest", "postings", "recency_weight", "rrf"]
+def rerank(pool: DataFrame, query: str, scorer, text: str = "text") -> DataFrame:
+    """A pool reordered by a pluggable scorer of (query, texts), called on Arrow batches; without one the order stays."""
+    if scorer is None:
+        return pool
+
+    @F.pandas_udf("double")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series(scorer(query, texts.fillna("").tolist()), dtype="float64")
+
+    scored = pool.withColumn("score", run(F.col(text)))
+    return scored.withColumn("_rank", F.row_number().over(W.orderBy(F.desc("score"), F.desc("seq"))).cast("long"))
+
+
+__all__ = ["bm25", "cosine", "dedup_by", "expand_query", "jaccard", "mmr", "multi_hop", "near_duplicates", "nearest", "postings", "recency_weight", "rerank", "rrf"]

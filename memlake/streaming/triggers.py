@@ -73,12 +73,13 @@ def composite_stream(events: DataFrame, gate, window_ms: int, known: set[str]) -
                     done = True
                     out.append((key[0], started, ",".join(sorted(seen)), r.ts))
         state.update((started, ",".join(sorted(seen)), done))
-        state.setTimeoutDuration(window_ms)
+        state.setTimeoutTimestamp(max(started + window_ms, state.getCurrentWatermarkMs()) + 1)
         if out:
             yield pd.DataFrame(out, columns=["key", "started", "fired", "last_ts"])
 
     e = events.filter(F.col("key").isNotNull() & F.col("alias").isin(list(known)))
-    return e.groupBy("key").applyInPandasWithState(step, "key string, started long, fired string, last_ts long", "started long, fired string, done boolean", "append", "ProcessingTimeTimeout")
+    e = e.withColumn("at", F.timestamp_millis("ts")).withWatermark("at", f"{window_ms} milliseconds")
+    return e.groupBy("key").applyInPandasWithState(step, "key string, started long, fired string, last_ts long", "started long, fired string, done boolean", "append", "EventTimeTimeout")
 
 
 def occurrences(schedules: DataFrame, now_ms: int) -> DataFrame:
@@ -97,12 +98,16 @@ def cron_matches(cron: str, at: Column) -> Column:
     spans = [(0, 59), (0, 23), (1, 31), (1, 12), (0, 6)]
     out = F.lit(True)
     for c, (low, high), text in zip(parts, spans, cron.split(), strict=True):
-        allowed: set[int] = set()
-        for item in text.split(","):
-            item, _, every = item.partition("/")
-            a, b = (low, high) if item == "*" else (int(item.split("-")[0]), int(item.split("-")[-1]))
-            allowed |= set(range(a, (high if every and "-" not in item and item != "*" else b) + 1, int(every or 1)))
-        out = out & c.isin(sorted(allowed))
+        out = out & c.isin(sorted(_cron_values(text, low, high)))
+    return out
+
+
+def _cron_values(text: str, low: int, high: int) -> set[int]:
+    out: set[int] = set()
+    for item in text.split(","):
+        item, _, every = item.partition("/")
+        a, b = (low, high) if item == "*" else (int(item.split("-")[0]), int(item.split("-")[-1]))
+        out |= set(range(a, (high if every and "-" not in item and item != "*" else b) + 1, int(every or 1)))
     return out
 
 
@@ -110,3 +115,19 @@ def backoff_ms(failures: Column, interval_ms: Column) -> Column:
     """30 s doubled for each further failure, an hour at most, never under the interval."""
     wait = F.least(F.lit(30_000) * F.pow(F.lit(2), F.greatest(failures - 1, F.lit(0))), F.lit(3_600_000))
     return F.when(failures > 0, F.greatest(wait.cast("bigint"), interval_ms)).otherwise(interval_ms)
+
+
+def next_due(cron: str | None, interval_ms: int | None, last_run_ms: int, now_ms: int) -> int | None:
+    """When a trigger fires next: an interval counts from its last run, cron from the clock (UTC); None beyond MAX_STEPS minutes."""
+    if cron is None:
+        return max(last_run_ms + interval_ms, now_ms)
+    from datetime import datetime, timedelta, timezone
+
+    spans = [(0, 59), (0, 23), (1, 31), (1, 12), (0, 6)]
+    fields = [_cron_values(text, *span) for text, span in zip(cron.split(), spans, strict=True)]
+    at = datetime.fromtimestamp(now_ms // 60_000 * 60, timezone.utc)
+    for _ in range(MAX_STEPS):
+        at += timedelta(minutes=1)
+        if all(v in f for v, f in zip((at.minute, at.hour, at.day, at.month, at.isoweekday() % 7), fields, strict=True)):
+            return int(at.timestamp() * 1000)
+    return None
