@@ -10,9 +10,7 @@ from memlake.llm.store import cut
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass every rule of the threshold table."""
-    names = docs.columns
-    judged = quality.judge(quality.measures(docs, F.struct(*names).alias("_row"), text="text"))
-    return judged.filter("kept").select(*[F.col("_row")[c].alias(c) for c in names])
+    return quality.passing(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

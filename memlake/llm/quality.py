@@ -103,7 +103,7 @@ def measures(docs: DataFrame, *keep: str | Column, text: str = "text") -> DataFr
     held = df.columns[:-1]
     df = df.select("*", F.filter(F.split(F.translate("_t", blank, " " * 5), " +"), lambda w: w != "").alias("_w"),
                    F.filter(F.split("_t", "\n"), lambda x: F.length(F.translate(x, " " + blank, "")) > 0).alias("_l"),
-                   F.length(F.translate("_t", " " + blank, "")).alias("word_chars"))
+                   F.length(F.translate("_t", " " + blank, "")).cast("long").alias("word_chars"))
     size, lines = F.size("_w"), F.size("_l")
     df = df.select(
         "*",
@@ -147,3 +147,16 @@ def judge(measured: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     out = measured.select("*", base.alias("base_failed"), F.array_compact(F.array(*tests)).alias("failed_rules"))
     return out.select("*", (~F.col("base_failed") & (F.size("failed_rules") == 0)).alias("kept"))
+
+
+def passing(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """Rows of docs that are kept.
+
+    The projection carries a random column that the filter reads, so that the
+    optimizer does not push the filter, with all measures written out again,
+    below the projection.
+    """
+    names = docs.columns
+    judged = judge(measures(docs, F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")), rules)
+    fixed = judged.select("row", "kept", F.rand(0).alias("_r"))
+    return fixed.filter("kept and _r >= 0").select(*[F.col("row")[c].alias(c) for c in names])
