@@ -82,4 +82,28 @@ WITH u AS (
 SELECT page_id, host, path, rule, coalesce(rv, 'allow') AS verdict FROM fit WHERE n = 1
 """
 
-ORACLE = {"op4_url_filter": _URL_SQL}
+_STOPS = ", ".join(f"'{w}'" for w in sorted(set(quality.STOP_WORDS)))
+_FAILED = " OR ".join(f"{r.measure} {op} {bound}" for r in quality.RULES for op, bound in (("<", r.low), (">", r.high)) if bound is not None)
+_QUALITY_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS x FROM documents),
+wl AS (SELECT doc_id, list_filter(regexp_split_to_array(x, '[\\x20\\x09-\\x0D]+'), lambda s: s <> '') AS ws FROM d),
+w AS (SELECT doc_id, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS i FROM wl),
+v AS (SELECT doc_id, i, w, lag(w) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM w),
+a AS (SELECT doc_id, count(*) AS n_words, sum(length(w)) AS word_chars, count(*) FILTER (WHERE w = p) AS stutters, count(*) FILTER (WHERE lower(w) IN ({_STOPS})) AS stops FROM v GROUP BY doc_id),
+g AS (SELECT doc_id, i, array_to_string(list_slice(ws, i, i + 7), ' ') AS s FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM wl WHERE len(ws) > 7)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, s) AS n FROM g) WHERE n > 1),
+c AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM r, range(0, 8) AS o(k) GROUP BY doc_id),
+l AS (SELECT doc_id, l FROM (SELECT doc_id, unnest(string_split(x, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^\\x20\\x09-\\x0D]')),
+b AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT l) AS n_dup_lines, count(*) FILTER (WHERE regexp_matches(ltrim(l), '^[-*•·] ')) AS bullets, count(*) FILTER (WHERE ends_with(rtrim(l), '...') OR ends_with(rtrim(l), '…')) AS dots FROM l GROUP BY doc_id),
+m AS (SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars, length(x) - length(regexp_replace(x, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+  length(x) - length(regexp_replace(x, '[!?]', '', 'g')) AS n_marks, length(x) - length(regexp_replace(x, '[A-Z]', '', 'g')) AS upper_chars,
+  coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines, coalesce(stutters, 0) AS stutters, coalesce(stops, 0) AS stops, coalesce(bullets, 0) AS bullets, coalesce(dots, 0) AS dots
+  FROM d LEFT JOIN a USING (doc_id) LEFT JOIN c USING (doc_id) LEFT JOIN b USING (doc_id)),
+q AS (SELECT *, coalesce(word_chars / nullif(n_words, 0)::double, 0) AS mean_word_length, coalesce(n_symbols / nullif(n_words, 0)::double, 0) AS symbols_per_word, coalesce(n_marks / nullif(n_words, 0)::double, 0) AS marks_per_word,
+  coalesce(100.0::double * n_repeat_words / nullif(n_words, 0), 0) AS repeat_percent, coalesce(n_dup_lines / nullif(n_lines, 0)::double, 0) AS dup_line_share, coalesce(bullets / nullif(n_lines, 0)::double, 0) AS bullet_line_share,
+  coalesce(dots / nullif(n_lines, 0)::double, 0) AS ellipsis_line_share, coalesce(upper_chars / nullif(word_chars, 0)::double, 0) AS upper_share, coalesce(stutters / nullif(n_words, 0)::double, 0) AS stutter_share, coalesce(stops / nullif(n_words, 0)::double, 0) AS stop_word_share,
+  n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words::bigint AS n_words, word_chars::bigint AS word_chars, n_symbols::bigint AS n_symbols, n_dup_lines::bigint AS n_dup_lines, n_repeat_words::bigint AS n_repeat_words, base_failed, NOT base_failed AND NOT ({_FAILED}) AS kept FROM q
+"""
+
+ORACLE = {"op4_url_filter": _URL_SQL, "op8_quality_rules": _QUALITY_SQL}

@@ -394,6 +394,6 @@ def test_pipeline(spark):
 def test_registered_queries(spark):
     import __spark_entry__ as e
 
-    assert {f"op{i}_" for i in range(1, 11)} <= {re.match(r"op\d+_", n)[0] for n in e.queries() if n.startswith("op")} and "pipeline" in e.queries()
+    assert {f"op{i}_" for i in range(1, 11)} <= {m[0] for n in e.queries() if (m := re.match(r"op\d+_", n))} and "pipeline" in e.queries()
     for n in queries.QUERIES:
         assert queries.QUERIES[n](spark, SF).columns
