@@ -52,9 +52,9 @@ def dedup_sources(rows: DataFrame, name: str | None, order: list[str]) -> DataFr
 
 def cap(rows: DataFrame, most: int = CAP) -> DataFrame:
     """At most so many rows over all sources, in proportion, one of each at least."""
-    per, all_ = F.count("*").over(W.partitionBy("source")), F.count("*").over(W.partitionBy(F.lit(1)))
     n = F.row_number().over(W.partitionBy("source").orderBy("_rank"))
-    rows = rows.withColumns({"_per": per, "_all": all_, "_n": n})
+    per = rows.groupBy("source").agg(F.count("*").alias("_per"))
+    rows = rows.withColumn("_n", n).join(per, "source").join(F.broadcast(rows.agg(F.count("*").alias("_all"))))  # one row
     return rows.filter((F.col("_all") <= most) | (F.col("_n") <= F.greatest(F.lit(1), F.ceil(F.col("_per") / F.col("_all") * most)))).drop("_per", "_all", "_n")
 
 
@@ -86,9 +86,14 @@ def disclosure(rows: DataFrame, budget: int, full: float = 0.7, summary: float =
 
 
 def type_floor(rows: DataFrame, per_type: int, budget: int) -> DataFrame:
-    """First the best per_type of each type, then the rest by score, while their tokens fit."""
+    """First the best per_type of each type, then the rest by score, while their tokens fit.
+
+    A row has one token at least, so only the first budget rows can fit: the
+    running sum is over a top-k, never over all rows in one task.
+    """
     w = W.partitionBy("grain_type").orderBy(F.desc("score"), "item")
     rows = rows.withColumn("_floor", (F.row_number().over(w) > per_type).cast("int"))
+    rows = rows.orderBy("_floor", F.desc("score"), "item").limit(budget)
     run = F.sum("tokens").over(W.orderBy("_floor", F.desc("score"), "item").rowsBetween(W.unboundedPreceding, 0))
     return rows.withColumn("running", run).filter(F.col("running") <= budget).drop("_floor")
 

@@ -35,7 +35,7 @@ def supersede(grains: DataFrame, old_hash: str, new: DataFrame) -> DataFrame:
 def merge(grains: DataFrame, parents: DataFrame, new: DataFrame) -> DataFrame:
     """new closes a fork: every parent (merge_parents) is superseded by it."""
     gone = parents.select(F.explode("merge_parents").alias("_p")).join(new.select(F.col("hash").alias("_by")))
-    done = grains.join(F.broadcast(gone), F.col("hash") == F.col("_p"), "left")
+    done = grains.join(gone, F.col("hash") == F.col("_p"), "left")
     return done.withColumn("superseded_by", F.coalesce("_by", "superseded_by")).drop("_p", "_by").unionByName(new.select(*grains.columns))
 
 
