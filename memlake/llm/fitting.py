@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from . import textkit as tk
 from .features import DIMS, split
 
+BLOCK_BYTES = 1 << 20  # of text whose features are held at a time
+
 Extract = Callable[[tk.Block], tuple[np.ndarray, np.ndarray]]
 
 
@@ -43,7 +45,7 @@ def sample(docs: DataFrame, labels: DataFrame, names: list[str], extract: Extrac
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in tk.blocks(batch.column("text")):
+            for block in tk.blocks(batch.column("text"), BLOCK_BYTES):
                 own, place = extract(block)
                 packed = [p.astype(np.uint16).tobytes() for p in split(own, place, len(block))]
                 at = slice(block.first, block.first + len(block))
@@ -61,7 +63,7 @@ def scored(docs: DataFrame, extract: Extract, score: Callable[[np.ndarray, np.nd
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in tk.blocks(batch.column("text")):
+            for block in tk.blocks(batch.column("text"), BLOCK_BYTES):
                 own, place = extract(block)
                 out = score(own, place, len(block))
                 ids = batch.column("doc_id")[block.first : block.first + len(block)]
