@@ -97,9 +97,9 @@ def probe_relation_subjects(spark, d):
     return scans.subjects_with_relation(T.grains(spark, d), "in_region")
 
 
-@query("SELECT sha256(concat_ws('|', grain_type, ns, subject, relation, object, content, created_at, seq)) AS hash, seq FROM grains WHERE seq % 1000 = 7")
+@query("SELECT sha256(concat_ws('|', grain_type, ns, subject, relation, object, content, created_at, seq)) AS hash, seq FROM grains")
 def content_addresses(spark, d):
-    return T.grains(spark, d).filter("seq % 1000 = 7").select("hash", "seq")
+    return T.grains(spark, d).select("hash", "seq")
 
 
 @query("SELECT seq, object FROM grains WHERE sha256(concat_ws('|', grain_type, ns, subject, relation, object, content, created_at, seq)) = sha256('fact|geo|nation:3|in_region|region:' || (SELECT n_regionkey FROM nation WHERE n_nationkey = 3) || '|1700000000003|10000003')")
@@ -538,8 +538,8 @@ def type_diversity_floor(spark, d):
 
 @query(None)
 def disclosure_levels(spark, d):
-    e = T.table(spark, d, "conversations").orderBy("conv_id", "turn").limit(200)
-    rows = e.select((F.col("conv_id") * 1000 + F.col("turn")).alias("item"), F.length("text").cast("double").alias("score"), F.length("text").cast("long").alias("full_tokens"), F.lit(10).cast("long").alias("summary_tokens"))
+    hits = _memory(spark, d).cal("RECALL events LIMIT 200")
+    rows = hits.select(F.col("seq").alias("item"), F.length("content").cast("double").alias("score"), F.length("content").cast("long").alias("full_tokens"), F.lit(10).cast("long").alias("summary_tokens"))
     return assemble.disclosure(rows, 20_000)
 
 
