@@ -46,7 +46,7 @@ from .store import cut, width
 
 K = 5
 PERCENT = 80
-BLOCK = 256
+BLOCK = 128
 GROUP = 16
 SPARE = 0.2
 _SEED_A, _SEED_B = np.uint64(0x632BE59BD9B4E019), np.uint64(0xE220A8397B1DCDAF)
