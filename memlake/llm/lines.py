@@ -58,7 +58,8 @@ def chunks(block: tk.Block) -> list[list[tuple[int, int, int, bool]]]:
     with np.errstate(over="ignore"):
         roll = h.copy()
         for j in range(1, WINDOW):
-            roll[j:] += h[:-j] * np.uint64(0x9E3779B97F4A7C15 + 2 * j)
+            # each text's roll starts afresh, so its chunks are the same whatever stands before it in a batch
+            roll[j:] += np.where(own[j:] == own[:-j], h[:-j] * np.uint64(0x9E3779B97F4A7C15 + 2 * j), np.uint64(0))
     stop = tk.mix(roll) % np.uint64(PERIOD) == 0
     long = n_words >= LONG_LINE
     stop |= long

@@ -179,6 +179,27 @@ def test_shifted_passage_goes(spark):
     assert all(len(got[i].split("\n")) == i + 4 for i in range(1, 6))
 
 
+def test_line_chunks_do_not_depend_on_the_batch(spark):
+    random.seed(11)
+    line = lambda n: " ".join("".join(random.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    texts = ["\n".join(line(random.randint(2, 6)) for _ in range(random.randint(2, 9))) for _ in range(300)]
+    alone = [lines.chunks(next(tk.blocks(pa.array([t]))))[0] for t in texts]
+    for block in tk.blocks(pa.array(texts), 4000):
+        begin = block.offsets[:-1].tolist()
+        got = [[(s - b, e - b, k, ok) for s, e, k, ok in found] for b, found in zip(begin, lines.chunks(block), strict=True)]
+        assert got == alone[block.first : block.first + len(block)]
+    # copies under other neighbours, their join with the removals shuffled
+    rows = list(enumerate(texts)) + [(1000 + i, t) for i, t in enumerate(random.sample(texts, len(texts)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = {r["doc_id"]: r["text"] for r in lines.dedup_lines(df).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert got == brute_lines(rows)
+
+
 # 4 url filter
 def test_urls(spark, none):
     rules = queries.URL_RULES
