@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from .functions import json as js, pii, render, text as tx
 from .memory import Memory
 from .operators import analyzers, assemble, context, graph, privacy, ranking, scans, setops, stages, telemetry, versions, writes
+from .plans.parser import parse
 from .sources import tables as T
 from .streaming import feed, triggers
 
@@ -185,11 +186,26 @@ def aggregate_by(spark, d):
 
 
 # --- set operations and bindings -------------------------------------------------------------------------------------
-_A, _B = 'facts WHERE object = "nation:3" LIMIT 1000', 'facts WHERE namespace = "geo.supply" LIMIT 1000'
+_ALL_A, _ALL_B = 'facts WHERE object = "nation:3"', 'facts WHERE namespace = "geo.supply"'
+_A = f"{_ALL_A} LIMIT 1000"
 _SA, _SB = "(live AND object = 'nation:3')", "(live AND ns = 'geo.supply')"
-cal("set_union", f"RECALL {_A} UNION RECALL {_B}", "seq", f"SELECT seq FROM grains WHERE {_SA} OR {_SB}")
-cal("set_intersect", f"RECALL {_A} INTERSECT RECALL {_B}", "seq", f"SELECT seq FROM grains WHERE {_SA} AND {_SB}")
-cal("set_except", f"RECALL {_A} EXCEPT RECALL {_B}", "seq", f"SELECT seq FROM grains WHERE {_SA} AND NOT {_SB}")
+
+
+def _set_op(name: str, op: str, sql: str) -> None:
+    """A set operator over all rows that its operands match; no operand is cut to a page."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        m = _memory(spark, d)
+        sides = [m.matching(parse(f"RECALL {x}").statement, {}, {}).withColumn("_rank", -F.col("seq")) for x in (_ALL_A, _ALL_B)]
+        return setops.combine(op, sides).select("seq")
+
+    run.__name__ = name
+    query(sql)(run)
+
+
+_set_op("set_union", "union", f"SELECT seq FROM grains WHERE {_SA} OR {_SB}")
+_set_op("set_intersect", "intersect", f"SELECT seq FROM grains WHERE {_SA} AND {_SB}")
+_set_op("set_except", "except", f"SELECT seq FROM grains WHERE {_SA} AND NOT {_SB}")
 _IN3 = "(SELECT subject FROM (SELECT subject, seq FROM grains WHERE live AND object = 'nation:3' ORDER BY seq DESC LIMIT 1000))"
 cal("let_semi_join", f'LET $s = SUBJECTS OF (RECALL {_A}); RECALL facts WHERE subject IN $s AND relation = "latest_order" | COUNT', "count", f"SELECT count(*) AS count FROM grains WHERE live AND relation = 'latest_order' AND subject IN {_IN3}")
 cal("let_anti_join", f'LET $s = SUBJECTS OF (RECALL {_A}); RECALL facts WHERE subject NOT IN $s AND relation = "in_nation" | COUNT', "count", f"SELECT count(*) AS count FROM grains WHERE live AND relation = 'in_nation' AND subject NOT IN {_IN3}")

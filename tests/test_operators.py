@@ -5,8 +5,10 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from memlake import catalog
 from memlake.functions import json as js, pii, render, text as tx
 from memlake.operators import analyzers, assemble, context, graph, privacy, ranking, telemetry, versions, writes
+from memlake.schema import COLUMNS
 from memlake.sources import imports
 from memlake.streaming import feed, triggers
 
@@ -172,3 +174,14 @@ def test_rerank_seam(spark):
     pool = spark.createDataFrame([(1, "aa"), (2, "a")], "seq long, text string")
     out = ranking.rerank(pool, "q", lambda q, texts: [-len(t) for t in texts])
     assert [r["seq"] for r in out.orderBy("_rank").collect()] == [2, 1]
+
+
+def test_set_operations_are_not_cut(spark, monkeypatch):
+    """Operands of 1600 and 2200 rows, the newest 1000 of each far apart."""
+    own = {"seq": F.col("id"), "hash": F.col("id").cast("string"), "grain_type": F.lit("fact"), "ns": F.when(F.col("id") >= 1400, "geo.supply").otherwise("geo"), "object": F.when(F.col("id") < 1600, "nation:3").otherwise("nation:4")}
+    grains = spark.range(3600).select(*[own.get(c, F.lit(None)).cast(t).alias(c) for c, t in COLUMNS.items()])
+    monkeypatch.setattr(catalog.T, "grains", lambda spark, d: grains)
+    rows = lambda name: sorted(r["seq"] for r in catalog.QUERIES[name](spark, "").collect())
+    assert rows("set_union") == list(range(3600))
+    assert rows("set_intersect") == list(range(1400, 1600))
+    assert rows("set_except") == list(range(1400))
