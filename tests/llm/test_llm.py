@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import pytest
 from pyspark.sql import functions as F
 
@@ -346,6 +347,39 @@ def test_stirling_numbers_and_sweep():
     assert new[0] == 1 and (new >= 1).all() and (new <= [1, 2, 10, 500]).all()
 
 
+@pytest.mark.parametrize("g", [2, 5])
+def test_lm_probabilities_sum_to_one(monkeypatch, g):
+    """Every context's pairs with all words, the end and a word that training has not, over buckets that share them."""
+    import types
+
+    monkeypatch.setattr("pyspark.TaskContext.get", lambda: types.SimpleNamespace(partitionId=lambda: 0))
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(12)]
+    texts = [(" ".join(rng.choices(words, [2.0**-i for i in range(12)], k=40)), False) for _ in range(150)] + [(f"{u} {w}", True) for u in words for w in [*words, "unseen"]]
+    batch = pa.RecordBatch.from_pydict({"text": [t for t, _ in texts], "doc_id": list(range(len(texts))), "held": [h for _, h in texts]})
+    label = hpylm._labels(g, 4)
+
+    def grouped(table, key):
+        return {k: table.filter(pa.compute.equal(table[key], k)) for k in set(table[key].to_pylist())}
+
+    dealt = grouped(pa.Table.from_batches(hpylm._deal(g, label)(iter([batch]))), "r")
+    partial = grouped(pa.concat_tables([hpylm._partials(g, label)(t) for t in dealt.values()]), "k")
+    answers = pa.concat_tables([hpylm._totals(g, label)(t) for t in partial.values()])
+    by = grouped(answers, "r")
+    drawn = grouped(pa.concat_tables([hpylm._draw(g, label)((pa.scalar(r),), t, by[r]) for r, t in dealt.items()]), "k")
+    sampled = pa.concat_tables([hpylm._drawn_totals(g, label)((pa.scalar(k),), partial[k], t) for k, t in drawn.items()])
+    by = grouped(pa.concat_tables([answers, sampled]), "r")
+    total, pairs = collections.Counter(), collections.Counter()
+    for r, t in dealt.items():
+        b = hpylm.Bucket(t["blob"].to_pylist())
+        p = hpylm._predict(b, hpylm._Answers(b, g, by[r]["blob"].to_pylist()), r)
+        for u, x in zip(b.contexts[b.u].tolist(), p.tolist(), strict=True):
+            total[u] += x
+            pairs[u] += 1
+    whole = [total[u] for u in total if pairs[u] == len(words) + 2]
+    assert len(whole) == len(words) and np.allclose(whole, 1, atol=1e-9)
+
+
 # 8 quality rules
 def brute_quality(t):
     t = t or ""
