@@ -159,7 +159,32 @@ _count("where_is_null", "facts WHERE content IS NULL AND object IS NOT NULL", "g
 _count("where_contains", 'facts WHERE object CONTAINS "ation:1"', "grain_type = 'fact' AND contains(object, 'ation:1')")
 _count("where_starts_with", 'facts WHERE subject STARTS WITH "customer:12"', "grain_type = 'fact' AND starts_with(subject, 'customer:12')")
 _count("where_boolean_logic", 'tools WHERE (tool_name = "click" OR tool_name = "view") AND NOT (value < 20 OR value > 80)', "(tool_name = 'click' OR tool_name = 'view') AND NOT (value < 20 OR value > 80)")
-_count("where_category", "facts WHERE relation IS location", "relation IN ('in_nation', 'in_region')")
+
+
+def _relation_facts(spark, d):
+    """A fact for each part, its relation one of 28 names in turn, of which 24 are the vocabulary's; every other one has the mg: prefix."""
+    names = F.split(F.lit("perceives state_at knows infers learned owned_by said did handed_off_to agrees_with requires_steps intends depends_on permits revokes prohibits requires prefers avoids dislikes delegates_to has_capability assigned_to capable_of lives_in likes owns knows_of"), " ")
+    p = T.table(spark, d, "part")
+    name = F.get(names, (F.col("p_partkey") % 28).cast("int"))
+    relation = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("mg:"), name)).otherwise(name)
+    return T.canonical(p.select(F.col("p_partkey").alias("seq"), F.lit("parts").alias("ns"), F.lit("fact").alias("grain_type"), F.col("p_partkey").alias("created_at"), F.concat(F.lit("part:"), F.col("p_partkey").cast("string")).alias("subject"), relation.alias("relation"), F.col("p_type").alias("object")))
+
+
+@query("""WITH n AS (SELECT string_split('perceives state_at knows infers learned owned_by said did handed_off_to agrees_with requires_steps intends depends_on permits revokes prohibits requires prefers avoids dislikes delegates_to has_capability assigned_to capable_of lives_in likes owns knows_of', ' ') AS names),
+f AS (SELECT CASE WHEN p_partkey % 3 = 0 THEN 'mg:' ELSE '' END || names[p_partkey % 28 + 1] AS relation FROM part, n)
+SELECT category, count(*) AS n FROM (VALUES ('observation', 'mg:perceives'), ('observation', 'mg:state_at'), ('knowledge', 'mg:knows'), ('knowledge', 'mg:infers'), ('knowledge', 'mg:learned'), ('knowledge', 'mg:owned_by'),
+('interaction', 'mg:said'), ('interaction', 'mg:did'), ('interaction', 'mg:handed_off_to'), ('consensus', 'mg:agrees_with'), ('workflow', 'mg:requires_steps'), ('lifecycle', 'mg:intends'), ('lifecycle', 'mg:depends_on'),
+('permission', 'mg:permits'), ('permission', 'mg:revokes'), ('permission', 'mg:prohibits'), ('preference', 'mg:requires'), ('preference', 'mg:prefers'), ('preference', 'mg:avoids'), ('preference', 'mg:dislikes'),
+('agency', 'mg:delegates_to'), ('agency', 'mg:has_capability'), ('agency', 'mg:assigned_to'), ('agency', 'mg:capable_of')) v(category, r)
+JOIN f ON relation = r OR 'mg:' || relation = r GROUP BY category""", plain=True)
+def where_category(spark, d):
+    m, out = Memory(_relation_facts(spark, d), now_ms=NOW), None
+    for c in "observation knowledge interaction consensus workflow lifecycle permission preference agency".split():
+        one = m.cal(f"RECALL facts WHERE relation IS {c} | COUNT").select(F.lit(c).alias("category"), F.col("count").alias("n"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 _count("where_namespace_prefix", 'facts WHERE namespace = "geo.*"', "(ns = 'geo' OR starts_with(ns, 'geo.'))")
 _count("where_namespace_set", 'facts WHERE namespace IN ("geo", "crm.*")', "(ns = 'geo' OR ns = 'crm' OR starts_with(ns, 'crm.'))")
 _count("where_confidence_strict", "facts WHERE confidence > 0.5", "grain_type = 'fact' AND confidence > 0.5")
@@ -591,17 +616,69 @@ def analyze_duplicates(spark, d):
     return analyzers.duplicate_facts(f).drop("canonical")
 
 
-@query(None)
+_NEAR = f"""WITH RECURSIVE t AS (SELECT lang AS ns, doc_id, list_sort(list_distinct({_TOKENS})) AS s FROM documents WHERE text IS NOT NULL),
+x AS (SELECT ns, doc_id, len(s) AS n, unnest(s) AS w FROM t),
+p AS (SELECT a.ns, a.doc_id AS a, b.doc_id AS b FROM x a JOIN x b ON a.ns = b.ns AND a.w = b.w AND a.doc_id < b.doc_id AND least(a.n, b.n) >= 0.9 * greatest(a.n, b.n)
+      GROUP BY a.ns, a.doc_id, b.doc_id, a.n, b.n HAVING count(*) >= 0.9 * (a.n + b.n - count(*))
+      UNION ALL SELECT a.ns, a.doc_id, b.doc_id FROM t a JOIN t b ON a.ns = b.ns AND a.doc_id < b.doc_id WHERE len(a.s) = 0 AND len(b.s) = 0)"""
+
+
+def _numbered_documents(spark, d):
+    """Documents as observations, ordered by doc_id; the hash is its decimal digits, 12 of them."""
+    return T.table(spark, d, "documents").select(F.col("lang").alias("ns"), F.col("doc_id").alias("created_at"), F.format_string("%012d", "doc_id").alias("hash"), "text")
+
+
+@query(_NEAR + """, o AS (SELECT ns, doc_id, row_number() OVER (ORDER BY doc_id) AS i FROM t),
+g AS (SELECT 0::bigint AS i, []::bigint[] AS seeds UNION ALL
+      SELECT g.i + 1, CASE WHEN EXISTS (SELECT 1 FROM p WHERE p.b = o.doc_id AND p.a IN (SELECT unnest(g.seeds))) THEN g.seeds ELSE list_append(g.seeds, o.doc_id) END FROM g JOIN o ON o.i = g.i + 1)
+SELECT ns, format('{:012d}', min(a)) AS seed, format('{:012d}', b) AS member FROM p WHERE a IN (SELECT unnest(seeds) FROM (SELECT seeds FROM g ORDER BY i DESC LIMIT 1)) GROUP BY ns, b""", plain=True)
 def analyze_near_duplicates(spark, d):
-    e = T.chat_events(spark, d)
-    return analyzers.near_duplicates(e)
+    return analyzers.near_duplicates(_numbered_documents(spark, d))
 
 
-@query("SELECT subject, count(DISTINCT object) AS n_objects, arg_max(object, created_at || sha256(concat_ws('|', grain_type, ns, subject, relation, object, content, created_at, seq))) AS resolved FROM order_facts GROUP BY subject HAVING count(DISTINCT object) >= 2")
+@query(_NEAR + " SELECT ns, count(*) AS n_pairs FROM p GROUP BY ns", plain=True)
+def near_pairs_of_sets(spark, d):
+    """Texts that are near copies, a text against the earliest of equal sets; all pairs of equal sets follow from their sizes."""
+    docs = _numbered_documents(spark, d)
+    sets = docs.select("ns", "hash", F.array_sort(F.array_distinct(tx.tokens(F.col("text")))).alias("s"))
+    cls = sets.groupBy("ns", "s").agg(F.count("*").alias("n"), F.min("hash").alias("lead"))
+    pairs = analyzers.near_pairs(docs).select("ns", F.col("a.hash").alias("a"), F.col("b.hash").alias("b"))
+    size = cls.select("ns", F.col("lead"), "n")
+    between = pairs.join(sets.select("ns", F.col("hash").alias("b"), F.col("s")), ["ns", "b"]).join(cls.select("ns", "s", F.col("lead").alias("lead_b")), ["ns", "s"])
+    between = between.filter("a <> lead_b").select("ns", F.least("a", "lead_b").alias("x"), F.greatest("a", "lead_b").alias("y")).distinct()
+    between = between.join(size.withColumnsRenamed({"lead": "x", "n": "nx"}), ["ns", "x"]).join(size.withColumnsRenamed({"lead": "y", "n": "ny"}), ["ns", "y"])
+    counts = between.select("ns", (F.col("nx") * F.col("ny")).alias("n")).unionByName(size.select("ns", (F.col("n") * (F.col("n") - 1) / 2).cast("long").alias("n")))
+    return counts.groupBy("ns").agg(F.sum("n").alias("n_pairs")).filter("n_pairs > 0")
+
+
+@query("SELECT subject, count(DISTINCT object) AS n_objects FROM (SELECT o_custkey AS subject, o_orderstatus AS object FROM orders WHERE o_custkey % 2 = 0) GROUP BY subject HAVING count(DISTINCT object) >= 2", plain=True)
 def analyze_contradictions(spark, d):
+    """Of two relations of a customer, by key, only status holds one object at a time."""
+    o = T.table(spark, d, "orders").withColumn("relation", F.when(F.col("o_custkey") % 2 == 0, "status").otherwise("colour"))
+    facts = T.canonical(o.select(F.col("o_orderkey").alias("seq"), F.lit("orders").alias("ns"), F.lit("fact").alias("grain_type"), F.unix_millis("o_orderdate").alias("created_at"), F.col("o_custkey").cast("string").alias("subject"), "relation", F.col("o_orderstatus").alias("object")))
+    return analyzers.contradictions(facts).select(F.col("subject").cast("long").alias("subject"), "n_objects")
+
+
+@query("SELECT subject, count(DISTINCT object) AS n_objects, arg_max(object, created_at || sha256(concat_ws('|', grain_type, ns, subject, relation, object, content, created_at, seq))) AS resolved FROM order_facts GROUP BY subject HAVING count(DISTINCT object) >= 2")
+def analyze_contradictions_of(spark, d):
     return analyzers.contradictions(_blind(spark, d), ["latest_order"]).select("subject", "n_objects", "resolved")
 
 
+@query("""SELECT * FROM (VALUES ('buy cars', 1, 'purchase cars'), ('buy cars', 2, 'buy car'), ('job at home', 1, 'work at home'), ('job at home', 2, 'employer at home'), ('job at home', 3, 'job at residence'), ('job at home', 4, 'job at address'),
+('Email a physician!', 1, 'mail a physician'), ('Email a physician!', 2, 'email a doctor'), ('kids walking', 1, 'child walking'), ('kids walking', 2, 'children walking'), ('kids walking', 3, 'kid walk'), ('phone', 1, 'cell'), ('phone', 2, 'mobile'), ('phone', 3, 'telephone')) v(question, place, variant)""", plain=True)
+def query_expansion(spark, d):
+    """Variants of five questions; the last, without any, gives no row."""
+    rows = [(q, i + 1, v) for q in ("buy cars", "job at home", "Email a physician!", "kids walking", "phone", "red") for i, v in enumerate(ranking.expand_query(q))]
+    return spark.createDataFrame(rows, "question string, place int, variant string")
+
+
+@query("""SELECT question, CASE WHEN regexp_matches(lower(question), 'order of|in what order|sequence of|from earliest|from latest|from first|from last|how many days|how long between|time between|which came first|which came last|which was earlier|which was later|before or after|earlier or later|when did|what date|what time|chronolog') THEN 'timeline' ELSE 'single' END AS mode
+FROM (VALUES ('When did it start?'), ('what happened after lunch'), ('In what order were they built'), ('who is it'), ('how long between the visits'), ('since yesterday'), ('Chronological list'), ('What date is due'), ('history of art')) v(question)""", plain=True)
+def context_mode(spark, d):
+    questions = ("When did it start?", "what happened after lunch", "In what order were they built", "who is it", "how long between the visits", "since yesterday", "Chronological list", "What date is due", "history of art")
+    return spark.createDataFrame([(q, context.mode(q, 3)) for q in questions], "question string, mode string")
+
+
 @query("SELECT subject, count(*) AS n_heads, min(sha256(concat_ws('|', grain_type, ns, subject, relation, object, content, created_at, seq))) AS primary_head FROM order_facts GROUP BY subject HAVING count(*) > 1")
 def analyze_forks(spark, d):
     return analyzers.forks(versions.open_forks(_blind(spark, d))).select("subject", "n_heads", F.col("primary").alias("primary_head"))
@@ -689,8 +766,10 @@ def memory_trigger(spark, d):
     return feed.memory_trigger(log, v, F.col("attrs")["price"].cast("double") > 300000).select("seq")
 
 
-@query("""SELECT key, started, last_ts FROM (SELECT key, min(started) AS started, max(ts) AS last_ts, count(*) FILTER (WHERE alias = 'signup') AS s, count(*) FILTER (WHERE alias = 'purchase') AS p, count(*) FILTER (WHERE alias = 'error') AS e FROM
-(SELECT 'u' || user_id AS key, event_type AS alias, (epoch_us(ts) // 1000) AS ts, min((epoch_us(ts) // 1000)) OVER (PARTITION BY user_id) AS started FROM events WHERE event_type IN ('signup', 'purchase', 'error')) WHERE ts - started <= 172800000 GROUP BY key) WHERE s > 0 AND p > 0 AND e = 0""", plain=True)
+@query("""WITH RECURSIVE e AS (SELECT 'u' || user_id AS key, event_type AS alias, epoch_us(ts) // 1000 AS ts, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_type) AS i FROM events WHERE event_type IN ('signup', 'purchase', 'error')),
+w AS (SELECT key, alias, ts, i, ts AS started FROM e WHERE i = 1 UNION ALL SELECT e.key, e.alias, e.ts, e.i, CASE WHEN e.ts - w.started > 172800000 THEN e.ts ELSE w.started END FROM w JOIN e ON e.key = w.key AND e.i = w.i + 1),
+seen AS (SELECT key, started, ts, bool_or(alias = 'signup') OVER x AS s, bool_or(alias = 'purchase') OVER x AS p, bool_or(alias = 'error') OVER x AS r FROM w WINDOW x AS (PARTITION BY key, started ORDER BY i))
+SELECT key, started, min(ts) AS last_ts FROM seen WHERE s AND p AND NOT r GROUP BY key, started""", plain=True)
 def composite_trigger(spark, d):
     e = T.table(spark, d, "events").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("key"), F.col("event_type").alias("alias"), F.unix_millis("ts").alias("ts"))
     return triggers.composite(e, ("and", "signup", "purchase", ("not", "error")), 2 * DAY, {"signup", "purchase", "error"}).select("key", "started", "last_ts")
@@ -785,7 +864,7 @@ def pii_scan(spark, d):
     return pii.scan(T.table(spark, d, "documents"), "doc_id")
 
 
-@query("SELECT doc_id, regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}', '[EMAIL]', 'g') AS text FROM documents", plain=True)
+@query("SELECT doc_id, regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}', '[REDACTED:EMAIL]', 'g') AS text FROM documents", plain=True)
 def pii_redact(spark, d):
     return T.table(spark, d, "documents").select("doc_id", pii.anonymize(F.col("text"), pii.Policy({"email": "redact"})).alias("text"))
 

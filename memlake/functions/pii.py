@@ -7,8 +7,11 @@ built-in functions too.
 
 from __future__ import annotations
 
+import hashlib
+import re
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 # Patterns by category.
@@ -76,34 +79,91 @@ def known_identities(df: DataFrame, key: str, names: DataFrame, text: str = "tex
     return words.join(names.select(F.lower("name").alias("word"), "name").distinct(), "word").select(key, "name")
 
 
+def severity(action: str) -> int:
+    kind, _, bucket = action.partition(":")
+    if kind not in ACTIONS or bucket not in ("", "month", "year", "decade") or bucket and kind != "generalize":
+        raise ValueError(f"{action} is no action")
+    return ACTIONS.index(kind)
+
+
 @dataclass(frozen=True)
 class Policy:
-    """What to do with each category; others are left."""
+    """What to do with each category (generalize may name its bucket, as in generalize:year); others are left."""
 
     actions: dict[str, str]
 
-    def order(self) -> list[tuple[str, str]]:
-        return sorted(self.actions.items(), key=lambda x: -ACTIONS.index(x[1]))
+    def __post_init__(self):
+        for action in self.actions.values():
+            severity(action)
+
+
+def _luhn(value: str) -> bool:
+    digits = [int(x) for x in value if x.isdigit()][::-1]
+    return sum(d if i % 2 == 0 else sum(divmod(2 * d, 10)) for i, d in enumerate(digits)) % 10 == 0
+
+
+CHECKS = {"credit_card": _luhn, "ae_eid": _luhn, "iban": lambda v: int("".join(str(int(x, 36)) for x in v[4:] + v[:4])) % 97 == 1}
+
+
+def spans(text: str, policy: Policy) -> list[tuple[int, int, str]]:
+    """(start, end, category) of what is treated: checked findings of which none overlap.
+
+    Of overlapping ones the severest action's stays, then the longer, the
+    earlier, and the category that comes first by name.
+    """
+    found = []
+    for category, action in policy.actions.items():
+        if action == "allow":
+            continue
+        ok = CHECKS.get(category, lambda v: True)
+        found += [(-severity(action), m.start() - m.end(), m.start(), category, m.end()) for m in re.finditer(PATTERNS[category], text, re.ASCII) if ok(m[0])]
+    taken: list[tuple[int, int, str]] = []
+    for _, _, start, category, end in sorted(found):
+        if all(end <= a or start >= b for a, b, _ in taken):
+            taken.append((start, end, category))
+    return sorted(taken)
+
+
+def masked(value: str) -> str:
+    """The first of each run of letters and digits stays."""
+    return re.sub(r"(?<=[^\W_])[^\W_]", "*", value)
+
+
+def generalized(value: str, category: str, bucket: str) -> str:
+    """A date as its month or year, a whole number as its decade; what does not parse is replaced."""
+    iso, local = re.match(r"(\d{4})-(\d\d)", value), re.fullmatch(r"\d+[/.](\d+)[/.](\d{4})", value)
+    if bucket == "decade":
+        return f"{int(value) // 10}0s" if re.fullmatch(r"\d{1,4}", value.strip()) else f"[GENERALIZED:{category.upper()}]"
+    if not iso and not local:
+        return f"[GENERALIZED:{category.upper()}]"
+    year, month = iso.groups() if iso else (local[2], local[1].zfill(2))
+    return year if bucket == "year" else f"{year}-{month}"
 
 
 def anonymize(text: Column, policy: Policy, salt: str = "") -> Column:
-    """The text with each category treated, the severest action first so that it wins where findings overlap."""
-    out = F.coalesce(text, F.lit(""))
-    for category, action in policy.order():
-        label = category.upper()
+    """The text with each finding treated in its place; Arrow batches, as what overlaps is decided by order."""
+    def treat(category: str, value: str) -> str:
+        action = policy.actions[category]
         if action == "redact":
-            out = F.regexp_replace(out, PATTERNS[category], f"[{label}]")
-        elif action == "mask":
-            out = F.regexp_replace(out, f"({PATTERNS[category]})", "***")
-        elif action == "generalize" and category == "date":
-            out = F.regexp_replace(out, r"\b(\d{4})-(\d\d)-\d\d\b", "$1-$2")
-        elif action == "pseudonym":
-            out = _pseudonyms(out, category, label, salt)
-    return out
-
-
-def _pseudonyms(text: Column, category: str, label: str, salt: str) -> Column:
-    return F.aggregate(F.array_distinct(matches(text, category)), text, lambda t, v: F.replace(t, v, pseudonym(v, label, salt)))
+            return f"[REDACTED:{category.upper()}]"
+        if action == "mask":
+            return masked(value)
+        if action == "pseudonym":
+            return f"[{category.upper()}_{hashlib.sha256((salt + value).encode()).hexdigest()[:8]}]"
+        return generalized(value, category, action.partition(":")[2] or "month")
+
+    def one(t: str | None) -> str:
+        t, out, at = t or "", [], 0
+        for start, end, category in spans(t, policy):
+            out += [t[at:start], treat(category, t[start:end])]
+            at = end
+        return "".join([*out, t[at:]])
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(one, na_action=None)
+
+    return run(text)
 
 
 def pseudonym(value: Column, label: str, salt: str) -> Column:

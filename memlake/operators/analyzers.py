@@ -6,15 +6,15 @@ its own; recommendations() gives the common shape with its dedup key.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import Window as W
 
+from ..shared import cut
 from ..functions.text import normalize_ident, normalize_signature, tokens
 
 DAY = 86_400_000
 # Relations that hold one object at a time.
-FUNCTIONAL = ["lives_in", "works_at", "employed_by", "married_to", "born_in", "birthday", "email", "phone", "timezone", "primary_language"]
+FUNCTIONAL = ["deploy_target", "lives_in", "reports_to", "status", "tier", "owner", "region", "assigned_to", "primary_email", "current_plan"]
 
 
 def tool_failure(calls: DataFrame, now_ms: int, days: int = 30, least: int = 3, rate: float = 0.4, many: int = 50) -> DataFrame:
@@ -38,36 +38,56 @@ def duplicate_facts(facts: DataFrame) -> DataFrame:
     return by.filter("n >= 2")
 
 
-def near_duplicates(observations: DataFrame, threshold: float = 0.9) -> DataFrame:
-    """(ns, seed, member): greedy clusters of texts against their seed, by token-set Jaccard.
+def near_pairs(observations: DataFrame, threshold: float = 0.9) -> DataFrame:
+    """(ns, a, b): pairs of texts whose token sets have a Jaccard of threshold or more, a the earlier.
 
-    Candidates share their rarest tokens (prefix filter), so only texts that can
-    reach the threshold meet; the greedy pass then runs on each candidate
-    cluster, in the order of seq.
+    Candidates share one of their rarest tokens (prefix filter), so only texts
+    that can reach the threshold meet; every candidate pair is then verified.
+    Equal sets meet as one, the earliest row of each, whose pairs are given to
+    all; texts without a token are equal sets too.
     """
-    sets = observations.select("ns", "seq", "hash", F.array_distinct(tokens(F.col("text"))).alias("_s")).filter(F.size("_s") > 0)
-    one = sets.select("ns", "seq", F.size("_s").alias("n"), F.explode("_s").alias("t"))
+    at = "created_at" if "created_at" in observations.columns else "seq"
+    rows = observations.filter(F.col("text").isNotNull()).select("ns", F.struct(F.col(at).alias("at"), "hash").alias("id"), F.array_sort(F.array_distinct(tokens(F.col("text")))).alias("set"))
+    rows, _ = cut(rows)
+    sets, _ = cut(rows.groupBy("ns", "set").agg(F.min("id").alias("id")))
+    one = sets.filter(F.size("set") > 0).select("ns", "id", F.size("set").alias("n"), F.explode("set").alias("t"))
     spread = one.groupBy("ns", "t").agg(F.count("*").alias("df"))
-    w = W.partitionBy("ns", "seq").orderBy("df", "t")
+    w = W.partitionBy("ns", "id").orderBy("df", "t")
     prefix = one.join(spread, ["ns", "t"]).withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= F.col("n") - F.ceil(threshold * F.col("n")) + 1)
-    # a text belongs to the cluster of the earliest text that it shares a prefix token with
-    first = prefix.groupBy("ns", "t").agg(F.min("seq").alias("lead"))
-    home = prefix.join(first, ["ns", "t"]).select("ns", "seq", "lead").distinct()
-    pool = home.join(sets, ["ns", "seq"])
-
-    def cluster(p: pd.DataFrame) -> pd.DataFrame:
-        seeds, out = [], []
-        for r in p.sort_values("seq").itertuples():
-            s = set(r._6 if hasattr(r, "_6") else r[list(p.columns).index("_s") + 1])
-            for seed, mine in seeds:
-                if len(s & mine) >= threshold * len(s | mine):
-                    out.append((r.ns, seed, r.hash))
-                    break
-            else:
-                seeds.append((r.hash, s))
-        return pd.DataFrame(out, columns=["ns", "seed", "member"])
-
-    return pool.groupBy("ns", "lead").applyInPandas(cluster, "ns string, seed string, member string").distinct()
+    prefix, _ = cut(prefix.select("ns", "id", "n", "t"))
+    other = prefix.withColumnsRenamed({"id": "id2", "n": "n2"})
+    some = prefix.join(other, ["ns", "t"]).filter((F.col("id") < F.col("id2")) & (F.least("n", "n2") >= threshold * F.greatest("n", "n2"))).select("ns", "id", "id2").distinct()
+    both = some.join(sets.withColumnRenamed("set", "s1"), ["ns", "id"]).join(sets.select("ns", F.col("id").alias("id2"), F.col("set").alias("s2")), ["ns", "id2"])
+    close = both.filter(F.size(F.array_intersect("s1", "s2")) >= threshold * F.size(F.array_union("s1", "s2"))).select("ns", "s1", "s2")
+    # a row against the earliest of its own set, and each row of one set against the earliest of the other
+    lead = sets.withColumnRenamed("id", "lead")
+    same = rows.join(lead, ["ns", "set"]).filter("lead < id").select("ns", F.col("lead").alias("a"), F.col("id").alias("b"))
+    across = close.unionByName(close.select("ns", F.col("s2").alias("s1"), F.col("s1").alias("s2")))
+    across = across.join(lead.withColumnRenamed("set", "s1"), ["ns", "s1"]).join(rows.withColumnRenamed("set", "s2"), ["ns", "s2"]).filter("lead < id").select("ns", F.col("lead").alias("a"), F.col("id").alias("b"))
+    return same.unionByName(across)
+
+
+def near_duplicates(observations: DataFrame, threshold: float = 0.9) -> DataFrame:
+    """(ns, seed, member): greedy clusters in the order of created_at and hash.
+
+    A text that is no earlier seed's member is a seed; a member belongs to its
+    earliest seed.  Only the earliest row of equal sets can be a seed, so
+    near_pairs() holds all that matters.  A round settles the members of known
+    seeds and the texts that have no unsettled earlier neighbour.
+    """
+    pairs, _ = cut(near_pairs(observations, threshold))
+    left, _ = cut(pairs.select("ns", F.explode(F.array("a", "b")).alias("id")).distinct())
+    edges = pairs
+    seeds = None
+    while not left.isEmpty():
+        waiting = edges.select("ns", F.col("b").alias("id")).distinct()
+        fresh, _ = cut(left.join(waiting, ["ns", "id"], "left_anti"))
+        seeds = fresh if seeds is None else seeds.unionByName(fresh)
+        of = pairs.join(fresh.withColumnRenamed("id", "a"), ["ns", "a"], "left_semi").select("ns", F.col("b").alias("id")).distinct()
+        left, _ = cut(left.join(fresh, ["ns", "id"], "left_anti").join(of, ["ns", "id"], "left_anti"))
+        edges, _ = cut(edges.join(left.withColumnRenamed("id", "a"), ["ns", "a"], "left_semi").join(left.withColumnRenamed("id", "b"), ["ns", "b"], "left_semi"))
+    members = pairs if seeds is None else pairs.join(seeds.withColumnRenamed("id", "a"), ["ns", "a"], "left_semi")
+    return members.groupBy("ns", "b").agg(F.min("a").alias("a")).select("ns", F.col("a.hash").alias("seed"), F.col("b.hash").alias("member"))
 
 
 def contradictions(facts: DataFrame, relations: list[str] = FUNCTIONAL) -> DataFrame:

@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import Window as W
 
-# Phrases that ask about time, and that ask for the newest state.
-TEMPORAL = "when, how long, before, after, since, until, timeline, history, first time, last time, ago, during, earlier, later, previously, sequence, order of events, what happened, chronolog, over time".split(", ")
-RECENCY = "current, currently, latest, now, most recent, these days, at the moment, up to date".split(", ")
+# Phrases that ask about time, and that ask for the newest state only.
+TEMPORAL = [
+    "order of", "in what order", "sequence of", "from earliest", "from latest", "from first", "from last", "how many days", "how long between", "time between",
+    "which came first", "which came last", "which was earlier", "which was later", "before or after", "earlier or later", "when did", "what date", "what time", "chronolog",
+]
+RECENCY = ["currently", "right now", "most recently", "at this point", "latest", "what is", "what's"]
 
 
 def asks(question: str, phrases: list[str]) -> bool:
-    return any(re.search(rf"\b{re.escape(p)}", question.lower()) for p in phrases)
+    return any(p in question.lower() for p in phrases)
 
 
 def mode(question: str, n_hits: int, temporal: bool = False, sessions: int = 1) -> str:

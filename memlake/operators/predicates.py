@@ -17,15 +17,15 @@ from ..schema import BOOLEAN, COLUMNS, COMMON, NUMERIC, OMITTED, TYPES
 
 # Relation categories, each standing for its names with and without the mg: prefix.
 CATEGORIES = {
-    "preference": "prefers likes dislikes avoids",
-    "knowledge": "knows understands believes",
-    "relationship": "related_to works_with reports_to member_of",
-    "location": "lives_in located_at located_in in_nation in_region",
-    "temporal": "occurred_at scheduled_for due_at",
-    "possession": "owns has uses",
-    "capability": "can_do skilled_in certified_in",
-    "permission": "permits denies requires_consent",
-    "identity": "is_a named same_as",
+    "observation": "perceives state_at",
+    "knowledge": "knows infers learned owned_by",
+    "interaction": "said did handed_off_to",
+    "consensus": "agrees_with",
+    "workflow": "requires_steps",
+    "lifecycle": "intends depends_on",
+    "permission": "permits revokes prohibits",
+    "preference": "requires prefers avoids dislikes",
+    "agency": "delegates_to has_capability assigned_to capable_of",
 }
 
 

@@ -18,11 +18,25 @@ K1, B = 1.2, 0.75
 RRF = 60
 NEAR_DUPLICATE = 0.85
 
-# Groups of English words that stand for one another in query expansion.
-SYNONYMS = [
-    "buy purchase order", "price cost fee", "car vehicle auto", "phone mobile cell", "doctor physician", "help support assist", "error failure fault", "fix repair resolve",
-    "meeting appointment call", "job work employment", "home house residence", "trip travel journey", "begin start", "end finish complete", "big large", "small little",
-]
+# For each English word the words that may stand for it in query expansion.
+SYNONYMS = {
+    "cell": "mobile phone", "cellphone": "mobile phone",
+    "mobile": "cell phone",
+    "phone": "cell mobile telephone",
+    "email": "mail", "e-mail": "mail",
+    "buy": "purchase", "bought": "purchase", "purchased": "purchase",
+    "purchase": "buy",
+    "car": "vehicle", "automobile": "vehicle",
+    "vehicle": "car",
+    "doctor": "doctor physician", "physician": "doctor physician",
+    "kid": "child children", "kids": "child children", "child": "child children",
+    "spouse": "wife husband partner",
+    "job": "work employer",
+    "home": "residence address", "house": "residence address",
+    "birthday": "birthdate born",
+    "big": "large",
+    "small": "little",
+}
 SUFFIXES = ("ing", "ed", "es", "s")
 
 
@@ -95,16 +109,13 @@ def rrf(legs: list[DataFrame], k: int) -> DataFrame:
 
 
 def expand_query(text: str, most: int = 4) -> list[str]:
-    """Variants with one synonym each, then one with stems."""
-    words, out = query_tokens(text), []
-    for i, w in enumerate(words):
-        for group in SYNONYMS:
-            if w in group.split():
-                out += [" ".join([*words[:i], s, *words[i + 1 :]]) for s in group.split() if s != w]
-    stem = [next((w[: -len(s)] for s in SUFFIXES if w.endswith(s) and len(w) > len(s) + 2), w) for w in words]
-    if stem != words:
-        out = out[: most - 1] + [" ".join(stem)]
-    return out[:most]
+    """Variants with one synonym each, then one with all words stemmed; never the query itself, none twice, most at most."""
+    words = [w for w in (re.sub(r"^[\W_]+|[\W_]+$", "", x).lower() for x in text.split()) if w]
+    variants = [[*words[:i], other, *words[i + 1 :]] for i, w in enumerate(words) for other in SYNONYMS.get(w, "").split()]
+    variants.append([next((w[: -len(x)] for x in SUFFIXES if w.endswith(x) and len(w) > len(x) + 2), w) for w in words])
+    distinct = dict.fromkeys(" ".join(v) for v in variants)
+    distinct.pop(" ".join(words), None)
+    return list(distinct)[:most]
 
 
 def recency_weight(ranked: DataFrame, w: float, now_ms: int, total: int) -> DataFrame:

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import Window as W
 
+from ..shared import cut
+
 ADD, SUPERSEDE, FORGET = 1, 2, 3
 KEY = ("ns", "subject", "relation")
 CHAIN = 512
@@ -74,14 +76,13 @@ def history(grains: DataFrame, starts: DataFrame, most: int = CHAIN) -> DataFram
     Keys whose versions form one chain, all but forks, need no walk: see ordered_history.
     """
     link = grains.select("hash", "supersedes")
-    cuts = grains.sparkSession.sparkContext.getCheckpointDir() is not None
     front = starts.select(F.col("hash").alias("start"), F.lit(0).alias("depth"), "hash")
     out = front
     for depth in range(1, most):
         front = front.join(link, "hash").filter(F.col("supersedes").isNotNull()).select("start", F.lit(depth).alias("depth"), F.col("supersedes").alias("hash"))
         front = front.join(grains.select("hash"), "hash", "left_semi").select("start", "depth", "hash")
-        if cuts and depth % 16 == 0:
-            front = front.checkpoint()  # a long chain's plan is cut where the session has a checkpoint folder
+        if depth % 16 == 0:
+            front, _ = cut(front)  # keep a long chain's plan short
         if front.isEmpty():
             break
         out = out.unionByName(front)

@@ -29,51 +29,82 @@ def gate_column(gate, fired: Column) -> Column:
     return out
 
 
-def composite(events: DataFrame, gate, window_ms: int, known: set[str]) -> DataFrame:
-    """From (key, alias, ts) keys whose gate holds: (key, started, fired), the window measured from the key's first member.
+def holds(gate, fired: set[str]) -> bool:
+    """gate_column for a set of aliases."""
+    if isinstance(gate, str):
+        return gate in fired
+    got = [holds(g, fired) for g in gate[1:]]
+    return not got[0] if gate[0] == "not" else all(got) if gate[0] == "and" else any(got)
 
-    A correlation key's events are folded with partial sums; a key that is null
-    takes no part; an alias that is no member is an error.
-    """
+
+class Partial:
+    """A key's members since its window began; an event beyond the window begins the next one."""
+
+    def __init__(self, gate, window_ms: int, started: int | None = None, fired: str = "", done: bool = False):
+        self.gate, self.window_ms = gate, window_ms
+        self.started, self.seen, self.done = started, set(filter(None, fired.split(","))), done
+
+    def add(self, alias: str, ts: int) -> bool:
+        """Whether the gate holds with this event for the first time in its window."""
+        if self.started is None or ts - self.started > self.window_ms:
+            self.started, self.seen, self.done = ts, set(), False
+        self.seen.add(alias)
+        if self.done or not holds(self.gate, self.seen):
+            return False
+        self.done = True
+        return True
+
+    @property
+    def fired(self) -> str:
+        return ",".join(sorted(self.seen))
+
+
+def _known(gate, known: set[str]) -> None:
     unknown = members(gate) - known
     if unknown:
         raise ValueError(f"the gate names {sorted(unknown)[0]}, which is no member")
-    e = events.filter(F.col("key").isNotNull() & F.col("alias").isin(list(known)))
-    started = e.groupBy("key").agg(F.min("ts").alias("started"))
-    inside = e.join(started, "key").filter(F.col("ts") - F.col("started") <= window_ms)
-    by = inside.groupBy("key").agg(F.min("started").alias("started"), F.array_sort(F.collect_set("alias")).alias("fired"), F.max("ts").alias("last_ts"))
-    return by.filter(gate_column(gate, F.col("fired")))
+
+
+def composite(events: DataFrame, gate, window_ms: int, known: set[str]) -> DataFrame:
+    """From (key, alias, ts): (key, started, fired, last_ts) of every window in which the gate came to hold.
+
+    Windows are folded in the order of (ts, alias): one shuffle and sort by key,
+    then one small state at a time whatever a key's number of events.  A null
+    key takes no part; an alias in the gate that is no member is an error.
+    """
+    _known(gate, known)
+    e = events.filter(F.col("key").isNotNull() & F.col("alias").isin(list(known))).select("key", "alias", "ts")
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, state = None, None
+        for batch in batches:
+            out = []
+            for k, alias, ts in zip(batch["key"], batch["alias"], batch["ts"], strict=True):
+                if state is None or k != key:
+                    key, state = k, Partial(gate, window_ms)
+                if state.add(alias, int(ts)):
+                    out.append((k, state.started, sorted(state.seen), ts))
+            yield pd.DataFrame(out, columns=["key", "started", "fired", "last_ts"])
+
+    kind = dict(events.dtypes)["key"]
+    return e.repartition("key").sortWithinPartitions("key", "ts", "alias").mapInPandas(fold, f"key {kind}, started long, fired array<string>, last_ts long")
 
 
 def composite_stream(events: DataFrame, gate, window_ms: int, known: set[str]) -> DataFrame:
     """The same on a stream: one small state a key, dropped when its window has passed."""
-    unknown = members(gate) - known
-    if unknown:
-        raise ValueError(f"the gate names {sorted(unknown)[0]}, which is no member")
-
-    def holds(g, fired: set[str]) -> bool:
-        if isinstance(g, str):
-            return g in fired
-        got = [holds(x, fired) for x in g[1:]]
-        return not got[0] if g[0] == "not" else all(got) if g[0] == "and" else any(got)
+    _known(gate, known)
 
     def step(key, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        started, fired, done = state.get if state.exists else (None, "", False)
-        seen, out = set(filter(None, fired.split(","))), []
+        at, out = Partial(gate, window_ms, *(state.get if state.exists else ())), []
         for p in parts:
-            for r in p.sort_values("ts").itertuples():
-                if started is not None and r.ts - started > window_ms:
-                    started, seen, done = None, set(), False
-                started = r.ts if started is None else started
-                seen.add(r.alias)
-                if not done and holds(gate, seen):
-                    done = True
-                    out.append((key[0], started, ",".join(sorted(seen)), r.ts))
-        state.update((started, ",".join(sorted(seen)), done))
-        state.setTimeoutTimestamp(max(started + window_ms, state.getCurrentWatermarkMs()) + 1)
+            for r in p.sort_values(["ts", "alias"]).itertuples():
+                if at.add(r.alias, r.ts):
+                    out.append((key[0], at.started, at.fired, r.ts))
+        state.update((at.started, at.fired, at.done))
+        state.setTimeoutTimestamp(max(at.started + window_ms, state.getCurrentWatermarkMs()) + 1)
         if out:
             yield pd.DataFrame(out, columns=["key", "started", "fired", "last_ts"])
 
@@ -92,21 +123,44 @@ def occurrences(schedules: DataFrame, now_ms: int) -> DataFrame:
     return due.select("trigger", F.explode(F.transform(steps, lambda i: F.col("last_run_ms") + i * F.col("interval_ms"))).alias("at_ms"))
 
 
+SPANS = [(0, 59), (0, 23), (1, 31), (1, 12), (0, 7)]
+# Names of months and of days of the week in cron expressions.
+MONTHS = "JAN FEB MAR APR MAY JUN JUL AUG SEP OCT NOV DEC".split()
+DAYS = "SUN MON TUE WED THU FRI SAT".split()
+
+
+def cron_fields(cron: str) -> list[set[int]]:
+    """Values of minute, hour, day of month, month and day of week (7 is Sunday) that a five-field expression names."""
+    parts = cron.upper().split()
+    if len(parts) != 5:
+        raise ValueError(f"{cron} is no cron expression of five fields")
+    for i, names, base in ((3, MONTHS, 1), (4, DAYS, 0)):
+        for k, name in enumerate(names):
+            parts[i] = parts[i].replace(name, str(k + base))
+    fields = [_cron_values(text, *span) for text, span in zip(parts, SPANS, strict=True)]
+    fields[4] = {x % 7 for x in fields[4]}
+    return fields
+
+
+def _either_day(cron: str) -> bool:
+    """Where both day fields are restricted, one of them is enough."""
+    return not any(x.startswith("*") for x in (cron.split()[2], cron.split()[4]))
+
+
 def cron_matches(cron: str, at: Column) -> Column:
-    """Whether a UTC timestamp column meets a five-field cron expression (*, lists, ranges, steps)."""
+    """Whether a UTC timestamp column meets a five-field cron expression (*, lists, ranges, steps, names)."""
     parts = [F.minute(at), F.hour(at), F.dayofmonth(at), F.month(at), F.dayofweek(at) - 1]
-    spans = [(0, 59), (0, 23), (1, 31), (1, 12), (0, 6)]
-    out = F.lit(True)
-    for c, (low, high), text in zip(parts, spans, cron.split(), strict=True):
-        out = out & c.isin(sorted(_cron_values(text, low, high)))
-    return out
+    minute, hour, day, month, weekday = [c.isin(sorted(f)) for c, f in zip(parts, cron_fields(cron), strict=True)]
+    return minute & hour & month & ((day | weekday) if _either_day(cron) else (day & weekday))
 
 
 def _cron_values(text: str, low: int, high: int) -> set[int]:
     out: set[int] = set()
     for item in text.split(","):
         item, _, every = item.partition("/")
-        a, b = (low, high) if item == "*" else (int(item.split("-")[0]), int(item.split("-")[-1]))
+        a, b = (low, high) if item in "*?" else (int(item.split("-")[0]), int(item.split("-")[-1]))
+        if not low <= a <= b <= high:
+            raise ValueError(f"{text} is not within {low} to {high}")
         out |= set(range(a, (high if every and "-" not in item and item != "*" else b) + 1, int(every or 1)))
     return out
 
@@ -117,17 +171,29 @@ def backoff_ms(failures: Column, interval_ms: Column) -> Column:
     return F.when(failures > 0, F.greatest(wait.cast("bigint"), interval_ms)).otherwise(interval_ms)
 
 
-def next_due(cron: str | None, interval_ms: int | None, last_run_ms: int, now_ms: int) -> int | None:
-    """When a trigger fires next: an interval counts from its last run, cron from the clock (UTC); None beyond MAX_STEPS minutes."""
-    if cron is None:
-        return max(last_run_ms + interval_ms, now_ms)
+def next_due(cron: str | None, interval_ms: int | None, last_run_ms: int, now_ms: int, once_ms: int | None = None) -> int | None:
+    """When a trigger fires next: an interval counts from its last run, cron from the clock (UTC), once only if still ahead.
+
+    Cron goes day by day, so a rare date costs its days, not its minutes; None
+    if no day in eight years (two leap years, across a century's end) meets it.
+    """
     from datetime import datetime, timedelta, timezone
 
-    spans = [(0, 59), (0, 23), (1, 31), (1, 12), (0, 6)]
-    fields = [_cron_values(text, *span) for text, span in zip(cron.split(), spans, strict=True)]
-    at = datetime.fromtimestamp(now_ms // 60_000 * 60, timezone.utc)
-    for _ in range(MAX_STEPS):
-        at += timedelta(minutes=1)
-        if all(v in f for v, f in zip((at.minute, at.hour, at.day, at.month, at.isoweekday() % 7), fields, strict=True)):
-            return int(at.timestamp() * 1000)
+    if once_ms is not None:
+        return once_ms if once_ms > now_ms else None
+    if cron is None:
+        return max(last_run_ms + interval_ms, now_ms)
+    minutes, hours, days, months, weekdays = cron_fields(cron)
+    first = datetime.fromtimestamp(now_ms // 60_000 * 60, timezone.utc) + timedelta(minutes=1)
+    either = _either_day(cron)
+    for n in range(366 * 8 + 1):
+        day = (first + timedelta(days=n)).replace(hour=0, minute=0)
+        by_day = (day.day in days, day.isoweekday() % 7 in weekdays)
+        if day.month not in months or not (any(by_day) if either else all(by_day)):
+            continue
+        for h in sorted(hours):
+            for m in sorted(minutes):
+                at = day.replace(hour=h, minute=m)
+                if at >= first:
+                    return int(at.timestamp() * 1000)
     return None

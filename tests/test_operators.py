@@ -1,6 +1,9 @@
 """Operators that SQL does not cover, imports, and streams."""
 
 import json
+import random
+import re
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -32,6 +35,30 @@ def test_near_duplicate_rows(spark):
     assert [tuple(r) for r in analyzers.near_duplicates(obs).collect()] == [("n", "h1", "h2")]
 
 
+def test_near_duplicate_clusters_against_brute_force(spark):
+    rng = random.Random(3)
+    base = [[rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 14))] for _ in range(12)]
+    rows = []
+    for i in range(160):
+        w = list(rng.choice(base))
+        for _ in range(rng.randint(0, 3)):
+            w[rng.randrange(len(w))] = rng.choice("abcdefghijklmnopqrstuvwxyz")
+        rows.append((rng.choice("nm"), rng.randint(0, 40), f"h{i:03d}", " ".join(w)))
+    rows += [("n", 50, "h900", "..."), ("n", 51, "h901", ""), ("m", 52, "h902", "-"), ("n", 53, "h903", None)]
+    seeds, want = [], set()
+    for ns, at, h, text in sorted((r for r in rows if r[3] is not None), key=lambda r: (r[1], r[2])):
+        s = set(re.findall("[a-z]", text))
+        for ns2, h2, s2 in seeds:
+            if ns == ns2 and (len(s & s2) >= 0.8 * len(s | s2)):
+                want.add((ns, h2, h))
+                break
+        else:
+            seeds.append((ns, h, s))
+    got = analyzers.near_duplicates(spark.createDataFrame(rows, "ns string, created_at long, hash string, text string"), 0.8)
+    assert {tuple(r) for r in got.collect()} == want and got.count() == len(want) > 40
+    assert analyzers.near_duplicates(spark.createDataFrame([], "ns string, created_at long, hash string, text string")).count() == 0
+
+
 def test_query_expansion():
     out = ranking.expand_query("buy cars")
     assert "purchase cars" in out and out[-1] == "buy car" and len(out) <= 4
@@ -73,6 +100,23 @@ def test_anonymize_is_stable_and_severe_first(spark):
     assert rest == f"{a} on 2024-05" and a.startswith("[EMAIL_")
 
 
+def test_anonymize_resolves_overlaps(spark):
+    def run(text, actions):
+        return spark.createDataFrame([(text,)], "text string").select(pii.anonymize(F.col("text"), pii.Policy(actions), "s")).first()[0]
+
+    assert run("card 1234567890123456 and 4111 1111 1111 1111.", {"credit_card": "redact"}) == "card 1234567890123456 and [REDACTED:CREDIT_CARD]."
+    assert run("mail john.doe@example.com", {"email": "mask"}) == "mail j***.d**@e******.c**"
+    assert run("on 2024-05-06", {"date": "generalize:year"}) == "on 2024" and run(None, {"date": "redact"}) == ""
+    # one value inside another: each is treated as a whole
+    out = run("a@b.org then xa@b.org then a@b.org", {"email": "pseudonym"}).split(" then ")
+    assert out[0] == out[2] != out[1] and all(x.startswith("[EMAIL_") for x in out)
+    # the severest action wins an overlap, and nothing of the loser is left half treated
+    assert run("see ftp://u:p@host.org now", {"email": "pseudonym", "url_userinfo": "redact"}) == "see [REDACTED:URL_USERINFO] now"
+    assert run("GB82WEST12345698765432 GB83WEST12345698765432", {"iban": "redact"}) == "[REDACTED:IBAN] GB83WEST12345698765432"
+    with pytest.raises(ValueError):
+        pii.Policy({"email": "shred"})
+
+
 def test_signatures(spark):
     df = spark.createDataFrame([("  Failed  at /tmp/a1 after 35 ms",)], "c string")
     assert df.select(tx.normalize_signature(F.col("c"))).first()[0] == "failed at <path> after # ms"
@@ -110,6 +154,17 @@ def test_change_stream_and_trigger(spark, tmp_path):
     assert got == ["a", "b"] and feed.seed_cursor(spark.read.parquet(log)) == 3
 
 
+def test_composite_windows_begin_again(spark):
+    rows = [("k", "a", 0), ("k", "a", 1000), ("k", "b", 1050), ("j", "b", 5), ("j", "x", 6), ("j", "a", 7), ("i", "a", 0), ("i", "b", 1), ("i", "x", 2), (None, "a", 0), ("h", "z", 1)]
+    df = spark.createDataFrame(rows, "key string, alias string, ts long")
+    got = {tuple(r) for r in triggers.composite(df, ("and", "a", "b"), 100, {"a", "b", "x"}).select("key", "started", "last_ts").collect()}
+    assert got == {("k", 1000, 1050), ("j", 5, 7), ("i", 0, 1)}
+    # a key's gate may hold again in its next window, and once in each
+    again = spark.createDataFrame([("k", a, t) for t, a in ((0, "a"), (1, "b"), (2, "a"), (3, "b"), (500, "b"), (510, "a"))], "key string, alias string, ts long")
+    assert sorted(r["started"] for r in triggers.composite(again, ("and", "a", "b"), 100, {"a", "b"}).collect()) == [0, 500]
+    assert triggers.composite(df, ("and", "a", ("not", "x")), 100, {"a", "x"}).filter("key = 'j'").count() == 0
+
+
 def test_composite_trigger_stream(spark, tmp_path):
     src, rows = str(tmp_path / "ev"), []
     spark.createDataFrame([("k", "a", 10), ("k", "b", 20), ("j", "a", 5), ("j", "b", 9000), (None, "a", 1)], "key string, alias string, ts long").write.parquet(src)
@@ -155,6 +210,20 @@ def test_context_modes():
 def test_next_due():
     assert triggers.next_due("*/15 * * * *", None, 0, 1_706_745_600_000) == 1_706_745_600_000 + 900_000
     assert triggers.next_due(None, 60_000, 100_000, 0) == 160_000
+    assert triggers.next_due(None, None, 0, 50, once_ms=51) == 51 and triggers.next_due(None, None, 0, 51, once_ms=51) is None
+
+
+@pytest.mark.parametrize("cron,after,want", [
+    ("0 0 1 * *", "2024-02-01T00:00", "2024-03-01T00:00"), ("0 12 29 2 *", "2024-03-01T00:00", "2028-02-29T12:00"), ("30 8 * * 7", "2024-02-01T00:00", "2024-02-04T08:30"),
+    ("30 8 * * SUN", "2024-02-04T08:30", "2024-02-11T08:30"), ("0 0 13 * 5", "2024-02-01T00:00", "2024-02-02T00:00"), ("0 0 13 * 5", "2024-02-10T00:00", "2024-02-13T00:00"),
+    ("5 4 31 JAN-MAR *", "2024-02-01T00:00", "2024-03-31T04:05"), ("0 0 30 2 *", "2024-02-01T00:00", None), ("59 23 31 12 *", "2024-12-31T23:59", "2025-12-31T23:59"),
+])
+def test_cron(spark, cron, after, want):
+    ms = lambda x: int(datetime.fromisoformat(x + "+00:00").timestamp() * 1000)
+    got = triggers.next_due(cron, None, 0, ms(after))
+    assert got == (None if want is None else ms(want))
+    if want:
+        assert spark.range(1).select(triggers.cron_matches(cron, F.timestamp_millis(F.lit(got)))).first()[0]
 
 
 def test_polling_source_seeds_its_cursor_first(spark, tmp_path):
