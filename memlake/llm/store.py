@@ -1,40 +1,10 @@
-"""Shared tables for intermediate results.
-
-Lineage is cut by writing Parquet below spark.checkpoint.dir, the folder that
-driver and executors share, so a lost executor costs nothing already written.
-"""
+"""Helpers of the operators on DataFrames; shared tables come from the library."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; only where it is unset (single-machine tests) a folder of our own."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="memlake-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
-def cut(df: DataFrame) -> tuple[DataFrame, str]:
-    """df written to the shared folder and read again, and where it is."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/memlake-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
-
-
-def drop(spark: SparkSession, *paths: str) -> None:
-    """Remove tables written by cut()."""
-    jvm = spark.sparkContext._jvm
-    for path in paths:
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+from ..shared import cut, drop, shared_dir
 
 
 def width(spark: SparkSession) -> int:
@@ -51,3 +21,6 @@ def packed(docs: DataFrame, *names: str) -> DataFrame:
 def unpacked(docs: DataFrame, names: list[str]) -> list[Column]:
     """The columns names of packed rows, in that order."""
     return [F.col(c) if c in docs.columns and c != "_rest" else F.col("_rest")[c].alias(c) for c in names]
+
+
+__all__ = ["cut", "drop", "packed", "shared_dir", "unpacked", "width"]
