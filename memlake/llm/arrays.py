@@ -14,7 +14,8 @@ def pack(*arrays: np.ndarray) -> bytes:
             top = int(a.max()) if len(a) else 0
             a = a.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32 if top < 1 << 32 else np.int64)
         parts.append(np.array([ord(a.dtype.char), len(a)], dtype=np.int64).tobytes())
-        parts.append(a.tobytes())
+        # a value's bytes apart: those that hardly change are next to each other
+        parts.append((np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.dtype.itemsize).T if a.dtype.itemsize > 1 else a).tobytes())
     return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
 
 
@@ -24,6 +25,7 @@ def unpack(raw: bytes) -> list[np.ndarray]:
     for _ in range(n):
         kind, size = np.frombuffer(raw, np.int64, 2, at).tolist()
         dtype = np.dtype(chr(kind))
-        out.append(np.frombuffer(raw, dtype, size, at + 16))
+        flat = np.frombuffer(raw, np.uint8, size * dtype.itemsize, at + 16)
+        out.append(np.ascontiguousarray(flat.reshape(dtype.itemsize, size).T).view(dtype).ravel() if size else np.zeros(0, dtype))
         at += 16 + size * dtype.itemsize
     return out

@@ -334,12 +334,13 @@ def test_lm_scores(spark, docs, odd, none):
     assert hpylm.score_texts(odd).count() == 9 and hpylm.score_texts(none).count() == 0
 
 
-def test_lm_scores_do_not_depend_on_partitions(spark, docs):
+@pytest.mark.parametrize("order", [2, 3])
+def test_lm_scores_do_not_depend_on_partitions(spark, docs, order):
     was, got = spark.conf.get("spark.sql.shuffle.partitions"), []
     try:
         for n, parts in ((2, 1), (9, 5)):
             spark.conf.set("spark.sql.shuffle.partitions", str(n))
-            got.append({r["doc_id"]: r["score"] for r in hpylm.score_texts(docs.repartition(parts)).collect()})
+            got.append({r["doc_id"]: r["score"] for r in hpylm.score_texts(docs.repartition(parts), order).collect()})
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", was)
     assert got[0] == got[1]
@@ -391,8 +392,9 @@ def test_gibbs_sweeps_reach_the_posterior():
         assert abs(got[k] / n - p / sum(want.values())) < 0.012
 
 
+@pytest.mark.parametrize("order", [2, 3])
 @pytest.mark.parametrize("nb,heavy", [(1, 0), (4, 0), (5, 3)])
-def test_lm_probabilities_sum_to_one(monkeypatch, nb, heavy):
+def test_lm_probabilities_sum_to_one(monkeypatch, nb, heavy, order):
     """Every pair of words before each word, the end and a word that training has not, over buckets that share restaurants."""
     import types
 
@@ -416,31 +418,37 @@ def test_lm_probabilities_sum_to_one(monkeypatch, nb, heavy):
         rows = [f((pa.scalar(k),), t) if right is None else f((pa.scalar(k),), t, right.get(k, none)) for k, t in left.items()]
         return pa.concat_tables(rows)
 
-    def told(sums, n):
-        facts = np.sum([f for k, f in zip(sums["to"].to_pylist(), sums["facts"].to_pylist()) if k == hpylm.ALL], axis=0)
-        out = hpylm.Out()
-        for k in range(nb):
-            out.add(k, hpylm.FACTS, -1, facts=[*facts, n])
-        return sums.filter(pa.compute.not_equal(sums["to"], hpylm.ALL)), out.table()
-
-    asks = by(pa.Table.from_batches(hpylm._asks(deal)(iter([batch]))))
-    pairs = by(stage(hpylm._level3_names(deal), asks))
-    named = by(stage(hpylm._level2_names(deal), pairs))
-    known = told(stage(hpylm._level1_names, named), 0)
-    first = stage(hpylm._level2_chances(deal, 0), pairs, by(*known))
-    known = (*known, stage(hpylm._level3_tables(deal), asks, by(first)))
-    known = (*known, *told(stage(hpylm._level1_tables, named, by(stage(hpylm._level2_tables(deal), pairs, by(*known)))), 1))
-    second = stage(hpylm._level2_chances(deal, 1), pairs, by(*known))
-    chances, total, n = by(first, second), collections.Counter(), collections.Counter()
-    for r in range(nb):
-        if r in asks:
-            b = hpylm.Trigrams(hpylm._received(asks[r])[hpylm.ASK], deal)
-            p = hpylm.predictive(b, *hpylm._rounds(hpylm._received(chances[r])))
-            for room, x in zip(b.room.tolist(), p.tolist(), strict=True):
-                total[r, room] += x
-                n[r, room] += 1
+    def relay(sums, n):
+        return stage(hpylm._relay(nb, n), by(sums))
+
+    asks = by(pa.Table.from_batches(hpylm._asks(deal, order)(iter([batch]))))
+    pairs = asks if order == 2 else by(stage(hpylm._level3_names(deal), asks))
+    named = by(stage(hpylm._level2_names(deal, hpylm.ASK if order == 2 else hpylm.NAMES), pairs))
+    known = [relay(stage(hpylm._level1_names, named), 0)]
+    total, n = collections.Counter(), collections.Counter()
+    if order == 2:
+        for i in (1, 2):
+            known.append(relay(stage(hpylm._level1_tables(i), named, by(stage(hpylm._top_tables(deal, i), asks, by(*known)))), i))
+        for k, t in asks.items():
+            if k < nb:
+                s = hpylm.Level2(t, by(*known)[k], deal, hpylm.ASK)
+                for room, x in zip(s.b.rooms[s.b.v].tolist(), s.chances(s.b.first, hpylm._states(s, 2), 2).tolist(), strict=True):
+                    total[room] += x
+                    n[room] += 1
+    else:
+        first = stage(hpylm._level2_chances(deal, 0), pairs, by(*known))
+        known.append(stage(hpylm._level3_tables(deal), asks, by(first)))
+        known.append(relay(stage(hpylm._level1_tables(1), named, by(stage(hpylm._level2_tables(deal), pairs, by(*known)))), 1))
+        chances = by(first, stage(hpylm._level2_chances(deal, 1), pairs, by(*known)))
+        for r in range(nb):
+            if r in asks:
+                b = hpylm.Trigrams(hpylm._received(asks[r])[hpylm.ASK], deal)
+                p2, d, _ = hpylm._rounds(hpylm._received(chances[r]))
+                for room, x in zip(b.room.tolist(), hpylm.predictive(b, p2, d).tolist(), strict=True):
+                    total[r, room] += x
+                    n[r, room] += 1
     whole = [total[k] for k in total if n[k] == len(words) + 2]
-    assert len(whole) == len(words) ** 2 and np.allclose(whole, 1, atol=1e-6)
+    assert len(whole) == len(words) ** (order - 1) and np.allclose(whole, 1, atol=1e-6)
 
 
 # 8 quality rules
