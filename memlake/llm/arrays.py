@@ -16,7 +16,7 @@ def pack(*arrays: np.ndarray) -> bytes:
         parts.append(np.array([ord(a.dtype.char), len(a)], dtype=np.int64).tobytes())
         # a value's bytes apart: those that hardly change are next to each other
         parts.append((np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.dtype.itemsize).T if a.dtype.itemsize > 1 else a).tobytes())
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(parts))
 
 
 def unpack(raw: bytes) -> list[np.ndarray]:

@@ -338,9 +338,9 @@ def test_lm_scores(spark, docs, odd, none):
 def test_lm_scores_do_not_depend_on_partitions(spark, docs, order):
     was, got = spark.conf.get("spark.sql.shuffle.partitions"), []
     try:
-        for n, parts in ((2, 1), (9, 5)):
+        for n, parts, size in ((2, 1, 10**6), (9, 5, 12_000)):
             spark.conf.set("spark.sql.shuffle.partitions", str(n))
-            got.append({r["doc_id"]: r["score"] for r in hpylm.score_texts(docs.repartition(parts), order).collect()})
+            got.append({r["doc_id"]: r["score"] for r in hpylm.score_texts(docs.repartition(parts), order, size).collect()})
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", was)
     assert got[0] == got[1]
@@ -418,17 +418,14 @@ def test_lm_probabilities_sum_to_one(monkeypatch, nb, heavy, order):
         rows = [f((pa.scalar(k),), t) if right is None else f((pa.scalar(k),), t, right.get(k, none)) for k, t in left.items()]
         return pa.concat_tables(rows)
 
-    def relay(sums, n):
-        return stage(hpylm._relay(nb, n), by(sums))
-
     asks = by(pa.Table.from_batches(hpylm._asks(deal, order)(iter([batch]))))
     pairs = asks if order == 2 else by(stage(hpylm._level3_names(deal), asks))
     named = by(stage(hpylm._level2_names(deal, hpylm.ASK if order == 2 else hpylm.NAMES), pairs))
-    known = [relay(stage(hpylm._level1_names, named), 0)]
+    known = [stage(hpylm._level1_names(nb), named)]
     total, n = collections.Counter(), collections.Counter()
     if order == 2:
         for i in (1, 2):
-            known.append(relay(stage(hpylm._level1_tables(i), named, by(stage(hpylm._top_tables(deal, i), asks, by(*known)))), i))
+            known.append(stage(hpylm._level1_tables(nb, i), named, by(stage(hpylm._top_tables(deal, i), asks, by(*known)))))
         for k, t in asks.items():
             if k < nb:
                 s = hpylm.Level2(t, by(*known)[k], deal, hpylm.ASK)
@@ -438,7 +435,7 @@ def test_lm_probabilities_sum_to_one(monkeypatch, nb, heavy, order):
     else:
         first = stage(hpylm._level2_chances(deal, 0), pairs, by(*known))
         known.append(stage(hpylm._level3_tables(deal), asks, by(first)))
-        known.append(relay(stage(hpylm._level1_tables(1), named, by(stage(hpylm._level2_tables(deal), pairs, by(*known)))), 1))
+        known.append(stage(hpylm._level1_tables(nb, 1), named, by(stage(hpylm._level2_tables(deal), pairs, by(*known)))))
         chances = by(first, stage(hpylm._level2_chances(deal, 1), pairs, by(*known)))
         for r in range(nb):
             if r in asks:
