@@ -9,9 +9,14 @@ nothing is sorted and no document list is gathered anywhere.
 Shuffled are partial sums (source, bucket) only.  A hot source is summed where
 its rows lie; its share of the shuffle is as small as any other's.
 
+A document's place is a hash of its doc_id and text, then of its row's number,
+so that rows of one doc_id and text, however many, can be cut apart too; among
+such equal rows alone the choice depends on how the table is split for reading.
+
 Defined cases: null text has size 0; a null source is a source of its own and
-comes last; a null doc_id hashes like any value; equal rows hash alike and are
-taken alike; an empty table gives an empty result; other columns are ignored.
+comes last; null and repeated doc_ids and equal rows are taken row by row; an
+empty table gives an empty result; other columns are ignored, and where one is
+called copy, the copy's number is called _copy.
 """
 
 from __future__ import annotations
@@ -19,12 +24,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import Window as W
 
-from .store import cut, packed, unpacked
+from .store import cut, free_name, packed, unpacked
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2.0
-LEVELS = 4
+LEVELS = 6
+TIE_BITS = 20
 BITS = 10
 SEED = 7
 SPACE = r"[\x20\x09-\x0D]+"
@@ -112,9 +118,11 @@ def thresholds(slim: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: flo
     return state.select("source", "source_size", "target", "whole", F.col("prefix").alias("threshold"))
 
 
-def position(key: Column, seed: int = SEED) -> Column:
-    """A document's fixed place among 2 ** (BITS * LEVELS)."""
-    return F.shiftrightunsigned(F.xxhash64(key, F.lit(seed)), 64 - BITS * LEVELS)
+def position(key: Column, text: Column, row: Column, seed: int = SEED) -> Column:
+    """A document's fixed place among 2 ** (BITS * LEVELS): of its key and text, the last TIE_BITS of its row's number."""
+    own = F.shiftrightunsigned(F.xxhash64(key, text, F.lit(seed)), 64 - BITS * LEVELS + TIE_BITS)
+    tie = F.shiftrightunsigned(F.xxhash64(row, F.lit(seed)), 64 - TIE_BITS)
+    return F.shiftleft(own, TIE_BITS).bitwiseOR(tie)
 
 
 def taken(rows: DataFrame, limits: DataFrame, most: float = MOST) -> DataFrame:
@@ -127,7 +135,7 @@ def taken(rows: DataFrame, limits: DataFrame, most: float = MOST) -> DataFrame:
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """(doc_id, source, size, source_size, target, copies, taken) for every row of docs."""
-    slim, _ = cut(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), position(F.col("doc_id")).alias("_h")))
+    slim, _ = cut(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), position(F.col("doc_id"), F.col("text"), F.monotonically_increasing_id()).alias("_h")))
     out = taken(slim, thresholds(slim, weights, share, most), most)
     return out.withColumn("taken", F.col("copies") * F.col("size"))
 
@@ -135,7 +143,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
 def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """The mix itself: each row of docs as often as it is taken, with copy numbered from 1."""
     rows = packed(docs, "doc_id", "text", "source")
-    sized = rows.select("*", n_words(F.col("text")).alias("size"), position(F.col("doc_id")).alias("_h"))
+    sized = rows.select("*", n_words(F.col("text")).alias("size"), position(F.col("doc_id"), F.col("text"), F.monotonically_increasing_id()).alias("_h"))
     slim, _ = cut(sized.select("source", "size", "_h"))
     out = taken(sized, thresholds(slim, weights, share, most), most).filter("copies > 0")
-    return out.select(*unpacked(rows, docs.columns), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
+    return out.select(*unpacked(rows, docs.columns), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias(free_name(docs.columns, "copy")))

@@ -23,4 +23,12 @@ def unpacked(docs: DataFrame, names: list[str]) -> list[Column]:
     return [F.col(c) if c in docs.columns and c != "_rest" else F.col("_rest")[c].alias(c) for c in names]
 
 
-__all__ = ["cut", "drop", "packed", "shared_dir", "unpacked", "width"]
+def free_name(taken: list[str], name: str) -> str:
+    """name, with underscores before it until no column of taken (whatever its case) is called so."""
+    used = {c.lower() for c in taken}
+    while name.lower() in used:
+        name = "_" + name
+    return name
+
+
+__all__ = ["cut", "drop", "free_name", "packed", "shared_dir", "unpacked", "width"]
