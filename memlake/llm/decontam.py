@@ -13,13 +13,20 @@ lowered until it is one.
 q-grams found in many segments are left out of a segment's own while its bound
 stays positive; the bound then counts those that remain, so nothing is lost.
 
+Items under Q bytes, which have no q-gram and no edit budget, are found exactly,
+as whole words, by an automaton over all of them.
+
 The benchmark is read in slices of SLICE_BYTES at most.  Each slice is sent to
 the executors and the texts are scanned against it without a shuffle: one scan
-for a benchmark of up to SLICE_BYTES, more for larger ones, never more memory.
+for a benchmark of up to SLICE_BYTES.  For larger ones each slice's findings
+are written out before the next slice, so that no task holds two.
 
-Defined cases: null texts and items are empty; items under Q bytes can not be
-found; an item repeated in the benchmark, or several rows of one item_id, count
-as one; equal documents are judged alike, row by row; empty tables give no hits.
+Defined cases: null texts are empty; a null or blank item is in no text; an
+item repeated in the benchmark, or several rows of one item_id, count as one;
+an item with a null item_id is searched too: what it is found in has edits but
+not its id; equal documents are judged alike, row by row; empty tables give no
+hits; where docs has columns called _items or _edits, the new ones have more
+underscores.
 """
 
 from __future__ import annotations
@@ -31,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import textkit as tk
-from .store import packed, unpacked
+from .store import cut, free_name, packed, unpacked
 
 Q = 12
 EDIT_RATE = 0.05
@@ -83,16 +90,27 @@ class Index:
 
     def __init__(self, items: list[tuple[int, bytes]], rate: float = EDIT_RATE):
         segments: dict[bytes, set[int]] = {}
+        short: dict[str, set[int | None]] = {}
         for item, raw in items:
             data, _ = normalise(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
             text = data.tobytes().strip(b" ")
             if len(text) < Q:
+                if text:
+                    short.setdefault(f" {text.decode('latin-1')} ", set()).add(item)
                 continue
             starts = [0] if len(text) <= SEGMENT else [*range(0, len(text) - SEGMENT, SEGMENT // 2), len(text) - SEGMENT]
             for s in starts:
                 segments.setdefault(text[s : s + SEGMENT], set()).add(item)
         self.texts = list(segments)
-        self.items = [sorted(v) for v in segments.values()]
+        self.items = [list(v) for v in segments.values()]
+        self.short = None
+        if short:
+            import ahocorasick
+
+            self.short = ahocorasick.Automaton()
+            for text, found in short.items():
+                self.short.add_word(text, list(found))
+            self.short.make_automaton()
         self.edits = np.array([min(int(rate * len(t)), max(0, (len(t) - Q) // Q)) for t in self.texts], dtype=np.int64)
         at = [grams(np.frombuffer(t, np.uint8)) for t in self.texts]
         own = np.repeat(np.arange(len(at)), [len(x) for x in at]) if at else np.zeros(0, np.int64)
@@ -187,6 +205,12 @@ class Index:
         """For each text number with any: the items found and their least edits."""
         data, offsets = normalise(block.data, block.offsets)
         out: dict[int, dict[int, int]] = {}
+        if self.short is not None:
+            raw = data.tobytes().decode("latin-1")
+            for d in range(len(block)):
+                for _, found in self.short.iter(f" {raw[offsets[d] : offsets[d + 1]]} "):
+                    for item in found:
+                        out.setdefault(d, {})[item] = 0
         for segment, low, high in self.regions(data):
             middle = max(0, min(len(data) - 1, (low + high + len(self.texts[segment])) // 2))
             for d in {int(np.searchsorted(offsets, x, side="right")) - 1 for x in (max(0, low), middle, min(len(data) - 1, max(0, high + len(self.texts[segment]) - 1)))}:
@@ -201,9 +225,9 @@ class Index:
         return out
 
 
-def _slices(benchmark: DataFrame) -> Iterator[list[tuple[int, bytes]]]:
+def _slices(benchmark: DataFrame) -> Iterator[list[tuple[int | None, bytes]]]:
     """The benchmark's items in lists of at most SLICE_BYTES, one at a time on the driver."""
-    rows = benchmark.select(F.col("item_id").cast("long"), F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("b")).filter("item_id is not null")
+    rows = benchmark.select(F.col("item_id").cast("long"), F.encode("text", "utf-8").alias("b")).filter("b is not null")
     part, size = [], 0
     for r in rows.toLocalIterator():
         part.append((r["item_id"], bytes(r["b"])))
@@ -216,13 +240,16 @@ def _slices(benchmark: DataFrame) -> Iterator[list[tuple[int, bytes]]]:
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs with _items (item_ids found in the text, ascending) and _edits (the least edits of any)."""
+    """docs and last two columns more: _items (item_ids found in the text, ascending) and _edits (the least edits of any, else null)."""
     from pyspark.sql import types as T
 
     names, docs = docs.columns, packed(docs, "text")
+    items_as, edits_as = free_name(names, "_items"), free_name(names, "_edits")
     spark, out = docs.sparkSession, docs.withColumns({"_items": F.array().cast("array<bigint>"), "_edits": F.lit(None).cast("int")})
     schema = out.schema
-    for part in _slices(benchmark):
+    for n, part in enumerate(_slices(benchmark)):
+        if n:
+            out, _ = cut(out)
         shared = spark.sparkContext.broadcast(Index(part))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -233,10 +260,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     hits = index.hits(block)
                     found += [hits.get(i, {}) for i in range(len(block))]
                 before, edits = batch.column("_items").to_pylist(), batch.column("_edits").to_pylist()
-                items = [sorted({*(b or ()), *f}) for b, f in zip(before, found, strict=True)]
+                items = [sorted({*(b or ()), *f} - {None}) for b, f in zip(before, found, strict=True)]
                 least = [min([*f.values(), *([e] if e is not None else [])], default=None) for e, f in zip(edits, found, strict=True)]
                 rest = {c: batch.column(c) for c in batch.schema.names if c not in ("_items", "_edits")}
                 yield pa.RecordBatch.from_pydict(rest | {"_items": pa.array(items, pa.list_(pa.int64())), "_edits": pa.array(least, pa.int32())})
 
         out = out.mapInArrow(run, T.StructType(schema.fields))
-    return out.select(*unpacked(docs, names), "_items", "_edits")
+    return out.select(*unpacked(docs, names), F.col("_items").alias(items_as), F.col("_edits").alias(edits_as))

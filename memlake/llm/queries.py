@@ -22,7 +22,7 @@ def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     out = decontam.contamination(docs, _read(spark, sf_dir, "benchmark"))
-    return out.select("doc_id", (F.size("_items") > 0).alias("contaminated"), F.col("_items").alias("item_ids"), F.col("_edits").alias("edits"))
+    return out.select("doc_id", F.col("_edits").isNotNull().alias("contaminated"), F.col("_items").alias("item_ids"), F.col("_edits").alias("edits"))
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
