@@ -1,9 +1,10 @@
 """Line dedup by content-defined line chunks.
 
 A hash rolling over the hashes of the last WINDOW lines ends a chunk wherever
-it is 0 modulo PERIOD, so boundaries depend on the lines near them only and
-come back, however far a passage is shifted.  A line of LONG_LINE words or more
-is a chunk of its own.  A chunk can be removed if it has two lines or more that
+it is less than at the line before and after, so boundaries depend on the lines
+near them only and come back, however far a passage is shifted, and no two
+boundaries, nor a boundary and a text's end, are one line apart.  A line of
+LONG_LINE words or more is a chunk of its own.  A chunk can be removed if it has two lines or more that
 are not blank, or is such a long line; of all its occurrences in all documents
 the first, in the document of the smallest doc_id, stays.
 
@@ -15,7 +16,8 @@ chunks and for the join with the removals.
 
 Defined cases: null text stays null; a text without lines to remove is returned
 byte for byte; rows of one doc_id count as one document and are treated alike
-(a null doc_id too); other columns stay; an empty table gives an empty result.
+(a null doc_id too); other columns stay, and where one is called like a new one,
+the new one gets underscores before it; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,10 +30,9 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from . import textkit as tk
-from .store import cut, packed, unpacked
+from .store import cut, free_name, packed, unpacked
 
 WINDOW = 2
-PERIOD = 2
 LONG_LINE = 20
 
 
@@ -60,7 +61,11 @@ def chunks(block: tk.Block) -> list[list[tuple[int, int, int, bool]]]:
         for j in range(1, WINDOW):
             # each text's roll starts afresh, so its chunks are the same whatever stands before it in a batch
             roll[j:] += np.where(own[j:] == own[:-j], h[:-j] * np.uint64(0x9E3779B97F4A7C15 + 2 * j), np.uint64(0))
-    stop = tk.mix(roll) % np.uint64(PERIOD) == 0
+    # a line's roll is the least of three, with one line of its text before the three's last and two after it
+    value, stop = tk.mix(roll), np.zeros(len(roll), dtype=bool)
+    if len(roll) > 3:
+        mid = value[1:-2]
+        stop[1:-2] = (mid < value[:-3]) & (mid <= value[2:-1]) & (own[:-3] == own[3:])
     long = n_words >= LONG_LINE
     stop |= long
     stop[:-1] |= long[1:] | (own[1:] != own[:-1])
@@ -129,7 +134,7 @@ def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def dedup_lines(docs: DataFrame, lines: str = "n_lines", removed: str = "n_removed") -> DataFrame:
-    """docs with repeated chunks taken out of text, and two columns: lines before, and lines removed."""
+    """docs with repeated chunks taken out of text, and last two columns more: lines before, and lines removed."""
     from pyspark.sql import types as T
 
     found = docs.select("doc_id", "text").mapInArrow(_emit, "doc_id long, digest binary, chunk binary, n long")
@@ -142,4 +147,4 @@ def dedup_lines(docs: DataFrame, lines: str = "n_lines", removed: str = "n_remov
     joined = rows.join(per, rows["doc_id"].eqNullSafe(per["_id"]), "left").drop("_id")
     schema = T.StructType([rows.schema["doc_id"], rows.schema["_rest"], rows.schema["text"], T.StructField("_lines", T.LongType()), T.StructField("_removed", T.LongType())])
     out = joined.mapInArrow(_rebuild, schema)
-    return out.select(*unpacked(rows, docs.columns), F.col("_lines").alias(lines), F.col("_removed").alias(removed))
+    return out.select(*unpacked(rows, docs.columns), F.col("_lines").alias(free_name(docs.columns, lines)), F.col("_removed").alias(free_name(docs.columns, removed)))
