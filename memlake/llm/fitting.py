@@ -12,6 +12,7 @@ from . import textkit as tk
 from .features import DIMS, split
 
 BLOCK_BYTES = 1 << 20  # of text whose features are held at a time
+SAMPLE_BYTES = 128 << 20  # of features that a fit reads at most
 
 Extract = Callable[[tk.Block], tuple[np.ndarray, np.ndarray]]
 
@@ -22,14 +23,16 @@ def remainder(key: Column, by: int) -> Column:
 
 
 def sample(docs: DataFrame, labels: DataFrame, names: list[str], extract: Extract, bound: int, usable: Column, stratum: str | None = None) -> tuple[list[np.ndarray], np.ndarray]:
-    """Feature rows and labels of at most bound labelled documents (by stratum value if given), chosen by hash.
+    """Feature rows and labels of at most bound labelled documents (by stratum value if given) and SAMPLE_BYTES, chosen by hash.
+
+    The first of names must be known; others that are null are -1.
 
     The chosen labels are bounded, so they are broadcast and the texts are
     scanned once without a shuffle; contrary or repeated labels of a document
     count as its largest.
     """
     agreed = labels.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(*[F.max(c).alias(c) for c in names])
-    agreed = agreed.filter(usable).dropna(subset=names)
+    agreed = agreed.filter(usable).dropna(subset=names[:1]).fillna(-1, names)
     order = [F.xxhash64("doc_id", F.lit(3)), F.col("doc_id")]
     if stratum is None:
         chosen = agreed.orderBy(*order).limit(bound)
@@ -53,7 +56,13 @@ def sample(docs: DataFrame, labels: DataFrame, names: list[str], extract: Extrac
                 yield pa.RecordBatch.from_pydict(cols | {f"_y{i}": batch.column(f"_y{i}")[at].cast(pa.int32()) for i in range(width)})
 
     schema = "doc_id long, x binary" + "".join(f", _y{i} int" for i in range(width))
-    got = sorted(one.mapInArrow(rows, schema).collect(), key=lambda r: r["doc_id"])
+    got, size = [], 0
+    for r in one.mapInArrow(rows, schema).repartitionByRange(8, *order).sortWithinPartitions(*order).toLocalIterator():
+        size += len(r["x"])
+        if size > SAMPLE_BYTES:
+            break
+        got.append(r)
+    got.sort(key=lambda r: r["doc_id"])
     x = [np.frombuffer(r["x"], np.uint16).astype(np.int64) for r in got]
     return x, np.array([[r[f"_y{i}"] for i in range(width)] for r in got], dtype=np.int64).reshape(len(got), width)
 

@@ -7,12 +7,13 @@ training row by models that did not see the row (out of fold), so that it meets
 in training what it will meet in use.
 
 labels has one toxicity flag and one quality flag, of which three categories
-are made: toxic, toxic_prose (toxic, in good text) and toxic_junk (toxic, in
-poor text).  The models are fitted on the driver from at most SAMPLE toxic and
+are made: toxic_prose (toxic, in good text), toxic_junk (toxic, in poor text)
+and last toxic, which reads both and is the verdict.  Where quality is not
+known, only toxic is learned from a row that is toxic.  The models are fitted on the driver from at most SAMPLE toxic and
 SAMPLE other labelled documents, chosen by hash; documents are scored in one
 scan.
 
-Defined cases: null text is an empty one; labels that are null are left out; a
+Defined cases: null text is an empty one; a null toxicity label is left out; a
 category without both classes in the sample has its share as probability.
 """
 
@@ -29,7 +30,7 @@ from .fitting import DIMS, sample, scored
 SAMPLE = 4096
 FOLDS = 3
 THRESHOLD = 0.5
-CATEGORIES = ("toxic", "toxic_prose", "toxic_junk")
+CATEGORIES = ("toxic_prose", "toxic_junk", "toxic")
 
 
 class Link:
@@ -50,18 +51,21 @@ class Link:
 
 
 class Chain:
+    """The links in the order of names; a label of -1 is not known and no link learns from it."""
+
     def __init__(self, rows: list[np.ndarray], labels: np.ndarray, names: Sequence[str] = CATEGORIES, folds: int = FOLDS):
         self.names, self.links = tuple(names), []
         n = len(rows)
         earlier, fold = np.zeros((n, 0)), np.arange(n) % folds
         for k in range(len(self.names)):
             y, out = labels[:, k], np.zeros(n)
+            known = y >= 0
             for f in range(folds):
-                train, test = np.flatnonzero(fold != f), np.flatnonzero(fold == f)
+                train, test = np.flatnonzero((fold != f) & known), np.flatnonzero(fold == f)
                 link = Link([rows[i] for i in train], y[train], earlier[train])
                 out[test] = link.margin([rows[i] for i in test], earlier[test])
-            a_b = linear.sigmoid_fit(out, y) if 0 < y.sum() < n else None
-            self.links.append(Link(rows, y, earlier, a_b))
+            a_b = linear.sigmoid_fit(out[known], y[known]) if 0 < y[known].sum() < known.sum() else None
+            self.links.append(Link([rows[i] for i in np.flatnonzero(known)], y[known], earlier[known], a_b))
             p = linear.probability(out, self.links[-1].a, self.links[-1].b)
             earlier = np.column_stack([earlier, p])
 
@@ -80,7 +84,8 @@ class Chain:
 def fit(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> Chain:
     rows, y = sample(docs, labels, ["toxic", "quality"], features.vocabulary, bound, F.lit(True), stratum="toxic")
     toxic, good = y[:, 0], y[:, 1]
-    return Chain(rows, np.column_stack([toxic, toxic * good, toxic * (1 - good)]))
+    unknown = (toxic == 1) & (good < 0)
+    return Chain(rows, np.column_stack([np.where(unknown, -1, toxic * good), np.where(unknown, -1, toxic * (1 - good)), toxic]))
 
 
 def classify(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
