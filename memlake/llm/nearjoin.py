@@ -344,7 +344,7 @@ def _tokens(docs: DataFrame, k: int) -> DataFrame:
     from pyspark.sql import types as T
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done: set[int] = set()
+        done: set[tuple[int, int]] = set()
         for batch in batches:
             for block in tk.blocks(batch.column("text")):
                 h, off = _sets(block, k)
@@ -353,7 +353,7 @@ def _tokens(docs: DataFrame, k: int) -> DataFrame:
                 part = batch.slice(block.first, len(block))
                 out = {c: part.column(c) for c in batch.schema.names if c != "text"} | {"tokens": pa.array(raw, pa.binary())}
                 right = d == part.column("d1").to_numpy(zero_copy_only=False)
-                once = [bool(ok) and x not in done and not done.add(x) for ok, x in zip(right, part.column("rep").to_pylist(), strict=True)]
+                once = [bool(ok) and x not in done and not done.add(x) for ok, x in zip(right, zip(part.column("rep").to_pylist(), d.tolist(), strict=True), strict=True)]
                 yield pa.RecordBatch.from_pydict(out).filter(pa.array(once, pa.bool_()))
 
     rest = [f for f in docs.schema.fields if f.name != "text"]

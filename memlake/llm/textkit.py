@@ -134,7 +134,7 @@ def shingles(word_hash: np.ndarray, owner: np.ndarray, n_texts: int, k: int) ->
     begins = np.cumsum(lengths) - lengths
     with np.errstate(over="ignore"):
         acc = np.zeros(total, dtype=np.uint64)
-        for j in range(k):
+        for j in range(min(k, total)):
             part = word_hash[j:] * np.uint64(2 * j + 0x9FB21C651E98DF25)
             part ^= part >> np.uint64(29)
             acc[: total - j] += part * np.uint64((0xA0761D6478BD642F + 2 * j) | 1)

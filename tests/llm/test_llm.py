@@ -12,7 +12,7 @@ import pyarrow.compute  # noqa: F401
 import pytest
 from pyspark.sql import functions as F
 
-from memlake.llm import classifier, decontam, hpylm, lines, mixing, nearjoin, quality, queries, stirling, textkit as tk, tokens, toxicity, urls
+from memlake.llm import classifier, decontam, hpylm, linear, lines, mixing, nearjoin, quality, queries, stirling, textkit as tk, tokens, toxicity, urls
 from memlake.llm.components import components
 
 SF = "/root/testdata/sf0.001"
@@ -103,6 +103,41 @@ def test_mix(spark, docs, odd, none):
     assert mixing.mix(odd).count() == 9 and mixing.mixed(odd).columns == [*odd.columns, "copy"]
 
 
+def test_mix_with_null_and_repeated_ids(spark):
+    """Targets are met also where a third of all rows are one row, or all ids are null; columns may be called copy."""
+    rng = random.Random(6)
+    rows = [(None, f"{'w ' * rng.randint(1, 9)}{i}", f"s{i % 4}", "x") for i in range(600)] + [(7, "a b c d e", "s1", "x")] * 400 + [(i, "q r", "s9", "x") for i in range(90)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, copy string").repartition(3)
+    got = mixing.mix(df).toPandas()
+    assert len(got) == len(rows) and got["copies"].between(0, 2).all()
+    for _, g in got.groupby("source"):
+        assert abs(g["taken"].sum() - g["target"].iloc[0]) <= 10
+    out = mixing.mixed(df)
+    assert out.columns == ["doc_id", "text", "source", "copy", "_copy"]
+    per = {r["source"]: r["n"] for r in out.groupBy("source").agg(F.sum(mixing.n_words(F.col("text"))).alias("n")).collect()}
+    for s, g in got.groupby("source"):
+        assert abs(per[s] - g["target"].iloc[0]) <= 10
+
+
+def test_mix_thresholds_against_brute_force(spark, docs):
+    """A source's documents in the order of their places are taken up to its target, the last if that comes nearer."""
+    h = mixing.position(F.col("doc_id"), F.col("text"), F.monotonically_increasing_id())
+    place = {r["doc_id"]: r["h"] for r in docs.select("doc_id", h.alias("h")).collect()}
+    got = mixing.mix(docs).toPandas()
+    for _, g in got.groupby("source"):
+        target, size = float(g["target"].iloc[0]), int(g["source_size"].iloc[0])
+        whole = int(target // size) if size else 0
+        rest, taken = target - whole * size, set()
+        for r in sorted(g.itertuples(), key=lambda r: place[r.doc_id]):
+            if r.size > rest and not r.size - rest < rest:
+                break
+            taken.add(r.doc_id)
+            if r.size > rest:
+                break
+            rest -= r.size
+        assert {r.doc_id: r.copies for r in g.itertuples()} == {r.doc_id: min(2, whole + (r.doc_id in taken)) for r in g.itertuples()}
+
+
 # 2 decontamination
 def test_decontamination(spark, docs, odd, none):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
@@ -134,6 +169,58 @@ def test_edited_passages_are_found():
         assert i in hits.get(1, {}) and 0 not in hits
 
 
+def brute_distance(t, x):
+    """Least edits between t and any region of x."""
+    row = np.zeros(len(x) + 1, dtype=int)
+    for i, c in enumerate(t, 1):
+        new = np.minimum(row[:-1] + (np.frombuffer(x, np.uint8) != c), row[1:] + 1)
+        new = np.append(i, new)
+        row = np.minimum.accumulate(new - np.arange(len(x) + 1)) + np.arange(len(x) + 1)
+    return int(row.min())
+
+
+def test_decontamination_agrees_with_brute_force():
+    """Texts with passages of 0 to 20 edits: found exactly where some segment is within its budget."""
+    rng = random.Random(8)
+    letters = "abcdefghijklmnopqrs tuv"
+    word = lambda n: "".join(rng.choice(letters) for _ in range(n)).strip().replace("  ", " x")
+    items = [(i, word(rng.randint(30, 320))) for i in range(12)]
+    index = decontam.Index([(i, t.encode()) for i, t in items])
+    texts = []
+    for n in range(60):
+        x = list(rng.choice(items)[1])
+        for _ in range(rng.randint(0, 20)):
+            j = rng.randrange(len(x))
+            x[j : j + 1] = rng.choice([[], ["z"], [x[j], "z"]])
+        texts.append(f"{word(rng.randint(5, 60))} {''.join(x)} {word(30)}")
+    hits = index.hits(next(tk.blocks(pa.array(texts))))
+    found = 0
+    for d, t in enumerate(texts):
+        block = next(tk.blocks(pa.array([t])))
+        data = decontam.normalise(block.data, block.offsets)[0].tobytes()
+        want = {}
+        for segment, owners, k in zip(index.texts, index.items, index.edits.tolist(), strict=True):
+            e = brute_distance(segment, data)
+            if e <= k:
+                for item in owners:
+                    want[item] = min(e, want.get(item, e))
+        assert hits.get(d, {}) == want
+        found += bool(want)
+    assert 10 < found < 60
+
+
+def test_short_null_and_sliced_items(spark, monkeypatch):
+    bench = spark.createDataFrame([(1, "tiny one"), (None, "the secret question of the day"), (2, None), (3, " "), (4, "another long benchmark item here")], "item_id long, text string")
+    rows = [(1, "a Tiny  ONE here", "x", 0), (2, "tinyone tiny", "x", 0), (3, "ask the secret question of the day now", "x", 0), (4, "an another long benchmark item here, tiny one", "x", 0), (None, None, "x", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _items string, _EDITS int")
+    want = {1: ([1], 0), 2: ([], None), 3: ([], 0), 4: ([1, 4], 0), None: ([], None)}
+    for size in (decontam.SLICE_BYTES, 1):
+        monkeypatch.setattr(decontam, "SLICE_BYTES", size)
+        out = decontam.contamination(docs, bench)
+        assert out.columns == [*docs.columns, "__items", "__edits"]
+        assert {r["doc_id"]: (r[-2], r[-1]) for r in out.collect()} == want
+
+
 # 3 line dedup
 def brute_lines(rows):
     """Chunks by the same boundaries, dropped but for their first document's first."""
@@ -201,6 +288,34 @@ def test_line_chunks_do_not_depend_on_the_batch(spark):
     assert got == brute_lines(rows)
 
 
+def test_boundaries_of_line_chunks():
+    """Against a plain reading of the rule: a line ends a chunk if its roll is less than its neighbours', two lines from a text's ends."""
+    rng = random.Random(12)
+    for _ in range(60):
+        text = "\n".join(" ".join(rng.choice("abcdef") for _ in range(rng.choice([1, 2, 3, 25]))) for _ in range(rng.randint(1, 14)))
+        rows = text.split("\n")
+        block = next(tk.blocks(pa.array([text])))
+        one = lambda x: int(tk.span_hashes(np.frombuffer(x.encode(), np.uint8), np.array([0]), np.array([len(x.encode())]))[0])
+        h = [one(x) for x in rows]
+        roll = [(h[i] + (h[i - 1] * (0x9E3779B97F4A7C15 + 2) if i else 0)) % (1 << 64) for i in range(len(h))]
+        value = [int(tk.mix(np.array([x], dtype=np.uint64))[0]) for x in roll]
+        long = [len(x.split()) >= lines.LONG_LINE for x in rows]
+        stops = [i for i in range(len(rows)) if i == len(rows) - 1 or long[i] or long[i + 1] or (1 <= i < len(rows) - 2 and value[i] < value[i - 1] and value[i] <= value[i + 1])]
+        begins = [0, *[i + 1 for i in stops[:-1]]]
+        want = ["\n".join(rows[a : b + 1]) for a, b in zip(begins, stops, strict=True)]
+        raw = block.data.tobytes()
+        found = lines.chunks(block)[0]
+        assert [raw[s:e].decode() for s, e, _, _ in found] == want
+        assert [ok for *_, ok in found] == [b > a or long[a] for a, b in zip(begins, stops, strict=True)]
+
+
+def test_line_columns_do_not_clash(spark):
+    df = spark.createDataFrame([(1, "a b\nc d", 5, "x"), (2, "a b\nc d", 6, "y")], "doc_id long, text string, n_lines int, N_removed string")
+    out = lines.dedup_lines(df)
+    assert out.columns == ["doc_id", "text", "n_lines", "N_removed", "_n_lines", "_n_removed"]
+    assert {r["doc_id"]: (r["text"], r["n_lines"], r["_n_lines"], r["_n_removed"]) for r in out.collect()} == {1: ("a b\nc d", 5, 2, 0), 2: ("", 6, 2, 2)}
+
+
 # 4 url filter
 def test_urls(spark, none):
     rules = queries.URL_RULES
@@ -495,7 +610,77 @@ def test_toxicity(spark, odd, none):
     assert toxicity.classify(none, labels.limit(0)).count() == 0 and toxicity.classify(odd, labels.limit(0)).filter("toxic = 1").count() == 0
 
 
+def test_log_count_ratios_and_the_optimum():
+    """Ratios by hand; the dual descent's value against many random points near its weights."""
+    rows = [np.array(x) for x in ([0, 1], [0], [1, 2], [2])]
+    y = np.array([1, 1, 0, 0])
+    r = linear.log_count_ratios(rows, y, 3)
+    p, q = np.array([3, 2, 1]) / 6, np.array([1, 2, 3]) / 6
+    assert np.allclose(r, np.log(p / q))
+    rng = np.random.default_rng(1)
+    rows = [np.unique(rng.integers(0, 12, 5)) for _ in range(80)]
+    y = np.array([int(0 in x or rng.random() < 0.2) for x in rows])
+    scale, c = linear.log_count_ratios(rows, y, 12), 0.3
+    w, _, b = linear.dual_coordinate_descent(rows, y, scale, c=c, epochs=400)
+    x = np.zeros((80, 12))
+    for i, row in enumerate(rows):
+        x[i, row] = scale[row] / np.linalg.norm(scale[row])
+    value = lambda w, b: (w @ w + b * b) / 2 + c * np.maximum(0, 1 - np.where(y > 0, 1, -1) * (x @ w + b)).sum()
+    best = value(w, b)
+    assert all(value(w + d[:-1], b + d[-1]) >= best - 1e-6 for d in rng.normal(0, 0.02, (300, 13)))
+
+
+def test_chain_trains_out_of_fold(monkeypatch):
+    """No earlier probability comes from a model that saw its row, the verdict is last and reads the others, unknown labels are left out."""
+    seen = []
+    real = toxicity.Link
+
+    class Spy(real):
+        def __init__(self, rows, y, earlier, calibration=None):
+            super().__init__(rows, y, earlier, calibration)
+            self.keys = {int(r[-1]) for r in rows}
+            seen.append((self.keys, earlier.shape[1], len(y)))
+
+        def margin(self, rows, earlier):
+            assert not self.keys & {int(r[-1]) for r in rows}
+            return super().margin(rows, earlier)
+
+    monkeypatch.setattr(toxicity, "Link", Spy)
+    rng = np.random.default_rng(2)
+    rows = [np.array([*np.unique(rng.integers(0, 40, 6)), 1000 + i]) for i in range(90)]
+    toxic = np.array([int(3 in r) for r in rows])
+    good = np.array([int(5 in r) for r in rows])
+    labels = np.column_stack([toxic * good, toxic * (1 - good), toxic])
+    labels[:9, :2] = -1
+    chain = toxicity.Chain(rows, labels)
+    assert chain.names[-1] == "toxic" and [n for _, n, _ in seen] == [0] * 4 + [1] * 4 + [2] * 4
+    assert [n for _, _, n in seen][3::4] == [81, 81, 90] and len(chain.links[-1].dense) == 2
+
+
 # pipeline
+def test_near_join_stage_with_null_and_repeated_ids(spark):
+    import corpus_pipeline as cp
+
+    base = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, base), (None, base), (1, base + " tail"), (None, "other words of its own here"), (2, "x y z"), (2, "p q r"), (2, "x y z"), (None, None), (3, "")]
+    out = cp.near_join(spark, spark.createDataFrame([(a, b, "k") for a, b in rows], "doc_id long, text string, _row string"), SF)
+    assert out.columns == ["doc_id", "text", "_row"]
+    texts = collections.Counter(r["text"] for r in out.collect())
+    assert sum(texts[x] for x in (base, base + " tail")) == 1 and texts["other words of its own here"] == texts["x y z"] == texts["p q r"] == texts[None] == texts[""] == 1
+
+
+def test_stages_take_clashing_names(spark):
+    import corpus_pipeline as cp
+
+    text = " ".join(f"the word{i} of a thing{i}" for i in range(30))
+    df = spark.createDataFrame([(i, f"{text} {i}\nline {i}", "en", "s", 9, 1, 2, 3, 4, 5) for i in range(4)], "doc_id long, text string, lang string, source string, n_chars long, copy int, n_lines int, n_removed int, _items int, kept int")
+    at = df
+    for _, stage in cp.STAGES[:-1]:
+        at = stage(spark, at, SF)
+        assert at.columns == df.columns
+    assert cp.mix(spark, at, SF).columns == [*df.columns, "_copy"] and cp.mix(spark, at, SF).count() >= 1
+
+
 def test_pipeline(spark):
     import corpus_pipeline as cp
 
