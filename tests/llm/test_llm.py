@@ -453,7 +453,7 @@ def test_lm_scores(spark, docs, odd, none):
 def test_lm_scores_do_not_depend_on_partitions(spark, docs, order):
     was, got = spark.conf.get("spark.sql.shuffle.partitions"), []
     try:
-        for n, parts, size in ((2, 1, 10**6), (9, 5, 12_000)):
+        for n, parts, size in ((2, 1, 10**6), (9, 5, 3_000)):
             spark.conf.set("spark.sql.shuffle.partitions", str(n))
             got.append({r["doc_id"]: r["score"] for r in hpylm.score_texts(docs.repartition(parts), order, size).collect()})
     finally:
