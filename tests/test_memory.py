@@ -44,7 +44,8 @@ def seqs(df):
     ('RECALL facts WHERE subject = "john" AND (relation = "likes" OR relation = "works_at")', [4, 1]),
     ('RECALL facts WHERE object CONTAINS "seat" OR subject STARTS WITH "tr"', [5, 0]),
     ("RECALL facts WHERE confidence IS NULL", [3]),
-    ("RECALL facts WHERE relation IS preference", [1, 0]),
+    ("RECALL facts WHERE relation IS preference", [0]),
+    ("RECALL facts WHERE relation IS knowledge", [2]),
     ('RECALL facts SINCE "2 days ago"', [5, 4, 3]),
     ("RECALL facts RECENT 2", [5, 4]),
     ('RECALL WHERE session_id = "s1"', [7, 6]),
