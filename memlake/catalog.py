@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import Window as W
@@ -34,13 +35,19 @@ def query(sql: str | None, plain: bool = False) -> Callable[[Query], Query]:
     return add
 
 
+@lru_cache(maxsize=4)
+def _grains(spark: SparkSession, d: str) -> DataFrame:
+    """The folder's grains, analysed once a session: a statement only adds to this plan."""
+    return T.grains(spark, d)
+
+
 def _memory(spark: SparkSession, d: str) -> Memory:
-    return Memory(T.grains(spark, d), now_ms=NOW)
+    return Memory(_grains(spark, d), now_ms=NOW)
 
 
 def _cal(text: str, *columns: str, parts=None) -> Query:
     def run(spark: SparkSession, d: str) -> DataFrame:
-        grains = T.grains(spark, d) if parts is None else parts(spark, d)
+        grains = _grains(spark, d) if parts is None else parts(spark, d)
         out = Memory(grains, now_ms=NOW).cal(text)
         return out.select(*columns) if columns else out
 
@@ -65,59 +72,59 @@ cal("recall_session", 'RECALL WHERE session_id = "5" RECENT 10', "seq role conte
 
 @query("SELECT seq, object FROM grains WHERE ns = 'orders' ORDER BY seq DESC LIMIT 25")
 def scan_recent_all_versions(spark, d):
-    return scans.recent(T.grains(spark, d), 25, "orders", "fact").select("seq", "object")
+    return scans.recent(_grains(spark, d), 25, "orders", "fact").select("seq", "object")
 
 
 @query("SELECT seq, object FROM grains WHERE ns = 'orders' AND live ORDER BY seq DESC LIMIT 25")
 def scan_recent_live(spark, d):
-    return scans.recent(T.grains(spark, d), 25, "orders", include_superseded=False).select("seq", "object")
+    return scans.recent(_grains(spark, d), 25, "orders", include_superseded=False).select("seq", "object")
 
 
 @query("SELECT seq, created_at FROM grains WHERE ns = 'orders' ORDER BY created_at, seq LIMIT 30")
 def scan_ordered(spark, d):
-    return scans.recent(T.grains(spark, d), 30, "orders", order="created_asc").select("seq", "created_at")
+    return scans.recent(_grains(spark, d), 30, "orders", order="created_asc").select("seq", "created_at")
 
 
 @query("SELECT seq, ns FROM grains WHERE ns = 'crm' OR starts_with(ns, 'crm.') OR ns = 'geo' ORDER BY seq DESC LIMIT 40")
 def scan_scoped(spark, d):
-    return scans.recent(T.grains(spark, d), 40, ["crm.*", "geo"]).select("seq", "ns")
+    return scans.recent(_grains(spark, d), 40, ["crm.*", "geo"]).select("seq", "ns")
 
 
 @query("SELECT seq, relation, object FROM grains WHERE live AND subject = 'customer:7' ORDER BY seq DESC LIMIT 16")
 def probe_subject(spark, d):
-    return scans.probe(T.grains(spark, d), subject="customer:7", limit=16).select("seq", "relation", "object")
+    return scans.probe(_grains(spark, d), subject="customer:7", limit=16).select("seq", "relation", "object")
 
 
 @query("SELECT seq, subject FROM grains WHERE live AND object = 'nation:3'")
 def probe_object(spark, d):
-    return scans.probe(T.grains(spark, d), object_="nation:3").select("seq", "subject")
+    return scans.probe(_grains(spark, d), object_="nation:3").select("seq", "subject")
 
 
 @query("SELECT DISTINCT subject FROM grains WHERE live AND relation = 'in_region'")
 def probe_relation_subjects(spark, d):
-    return scans.subjects_with_relation(T.grains(spark, d), "in_region")
+    return scans.subjects_with_relation(_grains(spark, d), "in_region")
 
 
 @query("SELECT sha256(concat_ws('|', grain_type, ns, subject, relation, object, content, created_at, seq)) AS hash, seq FROM grains")
 def content_addresses(spark, d):
-    return T.grains(spark, d).select("hash", "seq")
+    return _grains(spark, d).select("hash", "seq")
 
 
 @query("SELECT seq, object FROM grains WHERE sha256(concat_ws('|', grain_type, ns, subject, relation, object, content, created_at, seq)) = sha256('fact|geo|nation:3|in_region|region:' || (SELECT n_regionkey FROM nation WHERE n_nationkey = 3) || '|1700000000003|10000003')")
 def get_by_hash(spark, d):
-    g = T.grains(spark, d)
+    g = _grains(spark, d)
     key = T.geo_facts(spark, d).filter("seq = 10000003").select("hash")
     return g.join(F.broadcast(key), "hash", "left_semi").select("seq", "object")
 
 
 @query("SELECT seq, role, content FROM (SELECT * FROM grains WHERE session_id = '3' ORDER BY seq DESC LIMIT 4)")
 def thread_tail(spark, d):
-    return scans.thread_tail(T.grains(spark, d), "3", 4).select("seq", "role", "content")
+    return scans.thread_tail(_grains(spark, d), "3", 4).select("seq", "role", "content")
 
 
 @query("SELECT seq, ns FROM grains WHERE run_id = 'run:7' AND seq > 1000000000 ORDER BY seq LIMIT 20")
 def run_page(spark, d):
-    return scans.run_grains(T.grains(spark, d), "run:7", 1_000_000_000, 20).select("seq", "ns")
+    return scans.run_grains(_grains(spark, d), "run:7", 1_000_000_000, 20).select("seq", "ns")
 
 
 @query("SELECT seq AS op_seq, CASE WHEN prev_seq IS NULL THEN 1 ELSE 2 END AS op FROM order_versions WHERE seq > 100000500 ORDER BY seq LIMIT 50")
@@ -127,12 +134,12 @@ def changes_since(spark, d):
 
 @query("SELECT ns, count(*) AS n FROM grains GROUP BY ns")
 def namespaces(spark, d):
-    return scans.namespaces(T.grains(spark, d))
+    return scans.namespaces(_grains(spark, d))
 
 
 @query("SELECT ns, count(*) AS n FROM grains WHERE ns = 'tools' OR starts_with(ns, 'tools.') GROUP BY ns")
 def namespaces_in_scope(spark, d):
-    return scans.namespaces(T.grains(spark, d), "tools.*")
+    return scans.namespaces(_grains(spark, d), "tools.*")
 
 
 @query("SELECT 'org.' || ns AS ns, seq FROM geo_facts WHERE ns = 'geo' ORDER BY seq DESC LIMIT 10")
@@ -389,11 +396,42 @@ def fuse_ranks(spark, d):
     return ranking.rrf(legs, 20).withColumn("score", F.round("score", 6))
 
 
-@query(None)
+_FIRST_AXIS = [1.0] + [0.0] * 63
+
+
+@query(f"""WITH RECURSIVE pool AS (SELECT vec_id, embedding::double[] AS v, list_cosine_similarity(embedding::double[], {_FIRST_AXIS}::double[]) AS rel FROM embeddings ORDER BY rel DESC, vec_id LIMIT 64),
+sims AS (SELECT a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(a.v, b.v) AS s FROM pool a, pool b),
+g AS (SELECT 0 AS place, []::bigint[] AS chosen UNION ALL
+  SELECT place + 1, list_append(any_value(chosen), arg_max(vec_id, gain)) FROM (
+    SELECT g.place, g.chosen, p.vec_id, 0.5 * p.rel - 0.5 * coalesce(max(s.s), 0) AS gain FROM g JOIN pool p ON NOT list_contains(g.chosen, p.vec_id) LEFT JOIN sims s ON s.a = p.vec_id AND list_contains(g.chosen, s.b)
+    WHERE g.place < 10 GROUP BY g.place, g.chosen, p.vec_id, p.rel) GROUP BY place)
+SELECT vec_id, round(rel, 6) AS similarity, place FROM (SELECT place, chosen[place] AS vec_id FROM g WHERE place > 0) JOIN pool USING (vec_id)""", plain=True)
 def diversify(spark, d):
+    """Against a vector that is in no pool: to one of the pool's own, relevance and similarity would be the same at first."""
     e = T.table(spark, d, "embeddings")
-    pool = ranking.nearest(e, e.filter("vec_id = 0").select("embedding").first()[0], 64).join(e.select("vec_id", "embedding"), "vec_id")
-    return ranking.mmr(pool, 10, 0.5)
+    pool = ranking.nearest(e, _FIRST_AXIS, 64).join(e.select("vec_id", "embedding"), "vec_id")
+    return ranking.mmr(pool, 10, 0.5).withColumn("similarity", F.round("similarity", 6))
+
+
+def _document_events(spark, d):
+    """Documents as events; doc_id is their seq."""
+    t = T.table(spark, d, "documents")
+    return T.canonical(t.select(F.col("doc_id").alias("seq"), F.lit("docs").alias("ns"), F.lit("event").alias("grain_type"), F.col("doc_id").alias("created_at"), F.col("text").alias("content")))
+
+
+def _with_vectors(spark, d) -> Memory:
+    """A memory of the documents whose vectors are the embeddings of the same number; every question's vector is the first axis."""
+    vectors = T.table(spark, d, "embeddings").select(F.col("vec_id").alias("seq"), "embedding")
+    return Memory(_document_events(spark, d), now_ms=NOW, vectors=vectors, embed=lambda _: _FIRST_AXIS)
+
+
+@query(f"""WITH texts AS ({_bm25_sql("documents", "doc_id", ["licensed", "apache", "heed"], 40)}),
+v AS (SELECT vec_id AS seq, list_cosine_similarity(embedding::double[], {_FIRST_AXIS}::double[]) AS score FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents) ORDER BY score DESC, seq LIMIT 40),
+legs AS (SELECT seq, 1.0::double / (59 + row_number() OVER (ORDER BY score DESC, seq DESC)) AS part FROM texts UNION ALL SELECT seq, 1.0::double / (59 + row_number() OVER (ORDER BY score DESC, seq DESC)) FROM v)
+SELECT seq, round(sum(part), 6) AS score FROM legs GROUP BY seq ORDER BY sum(part) DESC, seq DESC LIMIT 20""", plain=True)
+def recall_hybrid(spark, d):
+    out = _with_vectors(spark, d).cal('RECALL events ABOUT "licensed apache heed" LIMIT 20')
+    return out.select("seq", F.round("score", 6).alias("score"))
 
 
 @query(f"SELECT seq, round(0.7 * (1 - place / 30.0::double) + 0.3 / (1 + greatest(({NOW} - created_at) / 3600000.0::double, 0)), 6) AS score FROM (SELECT seq, created_at, row_number() OVER (ORDER BY seq DESC) - 1 AS place FROM grains WHERE grain_type = 'event' ORDER BY seq DESC LIMIT 30)")
@@ -426,12 +464,12 @@ def multi_hop_forward(spark, d):
 @query("""SELECT term, min(depth) AS depth FROM (SELECT object AS term, 1 AS depth FROM grains WHERE live AND subject = 'customer:5' AND relation = 'in_nation'
 UNION ALL SELECT b.object, 2 FROM grains a JOIN grains b ON a.object = b.subject WHERE a.live AND b.live AND a.subject = 'customer:5' AND a.relation = 'in_nation' AND b.relation IN ('in_nation', 'in_region')) GROUP BY term""")
 def related_out(spark, d):
-    return graph.related(T.grains(spark, d), "customer:5", ["in_nation", "in_region"], "out", 2)
+    return graph.related(_grains(spark, d), "customer:5", ["in_nation", "in_region"], "out", 2)
 
 
 @query("SELECT subject AS term, 1 AS depth FROM grains WHERE live AND object = 'region:2' AND relation = 'in_region' UNION ALL SELECT c.subject, 2 FROM grains a JOIN grains c ON c.object = a.subject WHERE a.object = 'region:2' AND a.relation = 'in_region' AND c.relation = 'in_nation' AND c.live")
 def related_in(spark, d):
-    return graph.related(T.grains(spark, d), "region:2", ["in_nation", "in_region"], "in", 2, limit=1 << 30, fan_out=None)
+    return graph.related(_grains(spark, d), "region:2", ["in_nation", "in_region"], "in", 2, limit=1 << 30, fan_out=None)
 
 
 @query("SELECT 2 AS depth, 'supplier:1>' || a.object || '>' || b.object AS path FROM grains a JOIN grains b ON b.subject = a.object AND b.relation = 'in_region' WHERE a.subject = 'supplier:1'")
@@ -450,7 +488,7 @@ def derived_from(spark, d):
 
 @query("SELECT seq, 'recorded' AS part FROM grains WHERE run_id = 'run:9'")
 def run_trace(spark, d):
-    return graph.run_trace(T.grains(spark, d), "run:9", 1 << 30).select("seq", "part")
+    return graph.run_trace(_grains(spark, d), "run:9", 1 << 30).select("seq", "part")
 
 
 def _runs(spark, d):
@@ -487,7 +525,7 @@ def dag_node_state(spark, d):
 # --- aggregation, telemetry, reducers --------------------------------------------------------------------------------
 @query("SELECT count(*) AS grains, count(*) FILTER (WHERE live) AS live, count(DISTINCT ns) AS namespaces, count(DISTINCT session_id) AS sessions, count(DISTINCT run_id) AS runs, count(DISTINCT grain_type) AS types FROM grains")
 def store_stats(spark, d):
-    return telemetry.store_stats(T.grains(spark, d))
+    return telemetry.store_stats(_grains(spark, d))
 
 
 @query("SELECT 'g' || user_id AS hash, count(*) AS recall_count, min((epoch_us(ts) // 1000)) AS first_ts, max((epoch_us(ts) // 1000)) AS last_ts FROM events GROUP BY user_id", plain=True)
@@ -577,7 +615,10 @@ def type_diversity_floor(spark, d):
     return assemble.type_floor(e, 5, 1000).groupBy("grain_type").agg(F.count("*").alias("n"))
 
 
-@query(None)
+@query("""WITH RECURSIVE e AS (SELECT seq, length(content) AS n FROM chat_events ORDER BY seq DESC LIMIT 200), o AS (SELECT seq, n, row_number() OVER (ORDER BY n DESC, seq) AS i FROM e),
+f AS (SELECT 0::bigint AS i, NULL::bigint AS item, '' AS level, 0::bigint AS used UNION ALL
+  SELECT o.i, o.seq, CASE WHEN used + n <= 0.7 * 20000 THEN 'full' WHEN used + 10 <= 0.95 * 20000 THEN 'summary' ELSE 'omit' END, used + CASE WHEN used + n <= 0.7 * 20000 THEN n WHEN used + 10 <= 0.95 * 20000 THEN 10 ELSE 0 END FROM f JOIN o ON o.i = f.i + 1)
+SELECT item, level, used FROM f WHERE i > 0""".replace("WITH RECURSIVE e AS", ", e AS"))
 def disclosure_levels(spark, d):
     hits = _memory(spark, d).cal("RECALL events LIMIT 200")
     rows = hits.select(F.col("seq").alias("item"), F.length("content").cast("double").alias("score"), F.length("content").cast("long").alias("full_tokens"), F.lit(10).cast("long").alias("summary_tokens"))
@@ -728,7 +769,7 @@ def analyze_outcome_review(spark, d):
 
 @query(f"SELECT ns, seq, row_number() OVER (PARTITION BY ns ORDER BY created_at, seq) AS place FROM grains WHERE created_at < {NOW - 20 * DAY} QUALIFY row_number() OVER (PARTITION BY ns ORDER BY created_at, seq) <= 500")
 def analyze_retention(spark, d):
-    return analyzers.retention_sweep(T.grains(spark, d), NOW, 20 * DAY).select("ns", "seq", "place")
+    return analyzers.retention_sweep(_grains(spark, d), NOW, 20 * DAY).select("ns", "seq", "place")
 
 
 @query("SELECT plan, runs, failed, round(usd, 4) AS usd, last_detail FROM (SELECT 'plan:' || user_id % 25 AS plan, count(*) AS runs, count(*) FILTER (WHERE event_type NOT IN ('click', 'view')) AS failed, sum(CAST(floor(value * 1000) AS BIGINT)) / 1000000.0::double AS usd, arg_max(event_type, (epoch_us(ts) // 1000) * 1000000 + event_id) AS last_detail FROM events GROUP BY 1) WHERE (runs >= 3 AND failed / runs::double >= 0.5) OR usd >= 5", plain=True)
@@ -793,6 +834,39 @@ def trigger_backoff(spark, d):
     return u.select(F.col("user_id").alias("id"), triggers.backoff_ms(F.col("user_id") % 9, F.lit(60_000).cast("long")).alias("wait_ms"))
 
 
+@query(f"""SELECT t AS trigger, p AS concurrency, NOT running OR p <> 'forbid' AS starts, CASE WHEN running AND p = 'replace' THEN 'node' || t % 3 END AS cancels
+FROM (SELECT n_nationkey AS t, CASE n_regionkey % 3 WHEN 0 THEN 'forbid' WHEN 1 THEN 'allow' ELSE 'replace' END AS p, n_nationkey % 2 = 0 AS running FROM nation)""", plain=True)
+def trigger_admission(spark, d):
+    n = T.table(spark, d, "nation")
+    due = n.select(F.col("n_nationkey").alias("trigger"), F.element_at(F.array(F.lit("forbid"), F.lit("allow"), F.lit("replace")), (F.col("n_regionkey") % 3 + 1).cast("int")).alias("concurrency"))
+    return triggers.admitted(due, _leases(n), NOW)
+
+
+def _leases(n: DataFrame) -> DataFrame:
+    """A lease of every nation; those of even keys last."""
+    return n.select(F.col("n_nationkey").alias("trigger"), F.concat(F.lit("node"), (F.col("n_nationkey") % 3).cast("string")).alias("holder"), (F.lit(NOW + 1) - F.col("n_nationkey") % 2).alias("lease_until"), F.lit(4).alias("version"))
+
+
+@query(f"""SELECT t AS trigger, coalesce(won, 'node' || t % 3) AS holder, CASE WHEN won IS NULL THEN {NOW + 1} - t % 2 ELSE {NOW + 60000} END AS lease_until, CASE WHEN won IS NULL THEN 4 ELSE 5 END AS version
+FROM (SELECT n_nationkey AS t FROM nation) LEFT JOIN (SELECT s_nationkey AS t, min('node' || s_suppkey % 5) AS won FROM supplier WHERE s_suppkey % 4 <> 0 AND (s_nationkey % 2 = 1 OR s_suppkey % 5 = s_nationkey % 3) GROUP BY s_nationkey) USING (t)""", plain=True)
+def trigger_claims(spark, d):
+    """Each supplier's node claims its nation's trigger; every fourth names an old version."""
+    s = T.table(spark, d, "supplier")
+    claims = s.select(F.col("s_nationkey").alias("trigger"), F.concat(F.lit("node"), (F.col("s_suppkey") % 5).cast("string")).alias("node"), F.when(F.col("s_suppkey") % 4 == 0, 3).otherwise(4).alias("version"))
+    return triggers.claim(_leases(T.table(spark, d, "nation")), claims, NOW, 60_000)
+
+
+@query("""SELECT event_id AS delivery, event_type AS trigger, CASE WHEN event_type IN ('view', 'purchase') THEN 'refused' WHEN event_type = 'signup' THEN 'unidentifiable' WHEN k = '1' OR event_id <> first THEN 'duplicate' ELSE 'started' END AS outcome
+FROM (SELECT event_id, event_type, json_extract_string(props, '$.k') AS k, min(event_id) OVER (PARTITION BY event_type, json_extract_string(props, '$.k')) AS first FROM events)""", plain=True)
+def trigger_deliveries(spark, d):
+    """Events pushed to webhook, manual, clocked and paused triggers; runs of k = 1 are known."""
+    e = T.table(spark, d, "events").select(F.col("event_id").alias("delivery"), F.col("event_type").alias("trigger"), F.col("props").alias("payload"))
+    rows = [("click", "webhook", True, False, "shop", ["/k"]), ("error", "manual", True, False, None, ["/k"]), ("signup", "webhook", True, False, None, ["/no/such"]), ("view", "interval", True, False, None, ["/k"]), ("purchase", "webhook", True, True, None, ["/k"])]
+    known = spark.createDataFrame(rows, "trigger string, kind string, enabled boolean, paused boolean, connector string, pointers array<string>")
+    runs = known.select(feed.run_id(F.col("trigger"), F.col("connector"), F.lit("1")).alias("run_id"))
+    return triggers.delivered(known, e, runs).select("delivery", "trigger", "outcome")
+
+
 @query("SELECT event_type || chr(31) || json_extract_string(props, '$.k') AS identity, count(*) AS n FROM events GROUP BY 1", plain=True)
 def dedup_identities(spark, d):
     e = T.table(spark, d, "events").withColumn("payload", F.to_json(F.struct("event_type", F.get_json_object("props", "$.k").alias("k"))))
@@ -834,12 +908,12 @@ def text_relative_time(spark, d):
 
 @query("SELECT DISTINCT relation, replace(regexp_replace(relation, '^[^:]*:', ''), '_', ' ') AS label FROM grains WHERE relation IS NOT NULL")
 def text_humanize(spark, d):
-    return T.grains(spark, d).filter("relation is not null").select("relation", tx.humanize_relation(F.col("relation")).alias("label")).distinct()
+    return _grains(spark, d).filter("relation is not null").select("relation", tx.humanize_relation(F.col("relation")).alias("label")).distinct()
 
 
 @query("SELECT seq, coalesce(subject, '_') || chr(9) || coalesce(relation, '_') || chr(9) || coalesce(object, '_') AS line FROM grains WHERE ns IN ('geo', 'chat')")
 def format_triples(spark, d):
-    g = T.grains(spark, d).filter(F.col("ns").isin("geo", "chat"))
+    g = _grains(spark, d).filter(F.col("ns").isin("geo", "chat"))
     return g.select("seq", render.line("triples").alias("line"))
 
 
@@ -850,7 +924,7 @@ cal("format_sml", 'RECALL facts WHERE namespace = "geo" LIMIT 5 FORMAT sml', "te
 # --- privacy ---------------------------------------------------------------------------------------------------------
 @query("SELECT seq FROM grains WHERE subject = 'customer:1' OR object = 'customer:1'")
 def report_subject(spark, d):
-    return privacy.report_subject(T.grains(spark, d), "customer:1").select("seq")
+    return privacy.report_subject(_grains(spark, d), "customer:1").select("seq")
 
 
 @query("SELECT doc_id, lower(m) AS value, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}')) AS m FROM documents) GROUP BY 1, 2", plain=True)
@@ -859,7 +933,21 @@ def pii_emails(spark, d):
     return out.groupBy("doc_id", F.lower("value").alias("value")).agg(F.sum("n").alias("n"))
 
 
-@query(None)
+def _pii_sql() -> str:
+    """Findings by the same patterns; what may not stand before a phone number is matched outside its group."""
+    digits = "list_transform(string_split(reverse(regexp_replace(value, '[ -]', '', 'g')), ''), lambda x, i: CASE WHEN i % 2 = 1 THEN x::int ELSE 2 * x::int - CASE WHEN x::int > 4 THEN 9 ELSE 0 END END)"
+    codes = "list_transform(string_split(value[5:] || value[:4], ''), lambda x: CASE WHEN x BETWEEN '0' AND '9' THEN x::int ELSE ascii(x) - 55 END)"
+    parts = []
+    for category, pattern in pii.PATTERNS.items():
+        ahead = "(?<![\\w.])"
+        pattern, group = (f"(?:^|[^\\w.])({pattern.removeprefix(ahead)})", 1) if pattern.startswith(ahead) else (pattern, 0)
+        parts.append(f"SELECT doc_id, '{category}' AS category, unnest(regexp_extract_all(text, '{pattern}', {group})) AS value FROM documents")
+    return f"""SELECT doc_id, category, value, count(*) AS n FROM ({" UNION ALL ".join(parts)})
+WHERE CASE WHEN category IN ('credit_card', 'ae_eid') THEN list_sum({digits}) % 10 = 0 WHEN category = 'iban' THEN list_reduce(list_prepend(0, {codes}), lambda s, x: (s * CASE WHEN x > 9 THEN 100 ELSE 10 END + x) % 97) = 1 ELSE true END
+GROUP BY doc_id, category, value"""
+
+
+@query(_pii_sql(), plain=True)
 def pii_scan(spark, d):
     return pii.scan(T.table(spark, d, "documents"), "doc_id")
 
@@ -871,7 +959,7 @@ def pii_redact(spark, d):
 
 @query(f"SELECT seq FROM grains WHERE ns = 'tools.click' AND created_at < {NOW - 20 * DAY} ORDER BY created_at, seq LIMIT 100")
 def purge_oldest(spark, d):
-    return privacy.purge(T.grains(spark, d), NOW - 20 * DAY, "tools.click", limit=100).select("seq")
+    return privacy.purge(_grains(spark, d), NOW - 20 * DAY, "tools.click", limit=100).select("seq")
 
 
 @query("SELECT session_id, count(*) AS n_messages FROM chat_events WHERE role IN ('system', 'user', 'assistant') GROUP BY session_id")
@@ -883,7 +971,7 @@ def corpus_export(spark, d):
 @query("SELECT ns, count(*) AS n FROM grains WHERE ns IN ('geo', 'chat') GROUP BY ns")
 def permitted_rows(spark, d):
     grants = spark.createDataFrame([("ann", "read", "geo", False), ("ann", "read", "chat", False), ("ann", "read", "orders", True), ("bob", "read", "*", False)], "principal string, verb string, ns string, revoked boolean")
-    return privacy.permitted(T.grains(spark, d), grants, "ann").groupBy("ns").agg(F.count("*").alias("n"))
+    return privacy.permitted(_grains(spark, d), grants, "ann").groupBy("ns").agg(F.count("*").alias("n"))
 
 
 # --- writes ----------------------------------------------------------------------------------------------------------
@@ -959,7 +1047,7 @@ def session_census(spark, d):
 @query(f"SELECT seq FROM grains WHERE (ns = 'tools.click' AND created_at < {NOW - 10 * DAY}) OR (ns = 'tools.view' AND created_at < {NOW - 25 * DAY})")
 def policy_sweep(spark, d):
     p = spark.createDataFrame([("tools.click", 10 * DAY, False), ("tools.view", 25 * DAY, False), ("tools.error", DAY, True), ("geo", 0, False)], "ns string, max_age_ms long, hold boolean")
-    return privacy.policy_sweep(T.grains(spark, d), p, NOW).select("seq")
+    return privacy.policy_sweep(_grains(spark, d), p, NOW).select("seq")
 
 
 __all__ = ["ORACLE", "QUERIES", "setops"]

@@ -8,7 +8,9 @@ memory's grains by a new plan over the old ones.
 
 from __future__ import annotations
 
+import json
 import time
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
@@ -29,7 +31,10 @@ LET_CAP = 1000
 
 
 class Memory:
-    def __init__(self, grains: DataFrame, ns: str = "shared", now_ms: int | None = None, user: str | None = None, mounts: dict[str, DataFrame] | None = None, default_limit: int = DEFAULT_LIMIT):
+    def __init__(self, grains: DataFrame, ns: str = "shared", now_ms: int | None = None, user: str | None = None, mounts: dict[str, DataFrame] | None = None, default_limit: int = DEFAULT_LIMIT,
+                 vectors: DataFrame | None = None, embed: Callable[[str], list[float]] | None = None, scorer: Callable[[str, list[str]], list[float]] | None = None):
+        """vectors (seq, embedding) with embed give recall its vector leg; scorer of (query, texts) its reranking."""
+        self.vectors, self.embed, self.scorer = vectors, embed, scorer
         self.grains, self.spark, self.ns, self.user = grains, grains.sparkSession, ns, user
         self.now_ms = int(time.time() * 1000) if now_ms is None else now_ms
         self.mounts, self.default_limit = mounts or {}, default_limit
@@ -130,7 +135,7 @@ class Memory:
         if any(s.name == "count" for s in q.stages) and r.limit is None and r.recent is None and r.about is None:
             return stages.apply(df.withColumn("_rank", F.lit(0).cast("long")), [s for s in q.stages if s.name in ("count",)], MAX_LIMIT)
         if r.about is not None:
-            out = self.ranked(df, r.about, k, options)
+            out = self.ranked(df, r, k, options)
         elif order is not None and q.stages[0] is order and "dedup" not in options:
             out = df.withColumns({"_rank": -F.col("seq"), "score": F.lit(1.0)})
             return self.decorated(stages.apply(out, q.stages, k), options)
@@ -152,13 +157,28 @@ class Memory:
             out = out.unionByName(more.drop("hop"), allowMissingColumns=True).orderBy("_rank").limit(k)
         return self.decorated(stages.apply(out, q.stages, k), options)
 
-    def ranked(self, df: DataFrame, text: str, k: int, options: dict) -> DataFrame:
-        legs = [ranking.bm25(df, text, 2 * k)]
+    def ranked(self, df: DataFrame, r: A.Recall, k: int, options: dict) -> DataFrame:
+        """Text, subject and vector legs, fused by rank where there are several; a wider pool is reranked, or else diversified."""
+        text, semantic = r.about, self.embed is not None and self.vectors is not None
+        again, spread = "rerank" in options and self.scorer is not None, "diversity" in options and semantic
+        wide = max(k, ranking.POOL) if again or spread else 2 * k
+        legs = [ranking.bm25(df, text, wide)]
         if "query_expansion" in options:
-            legs += [ranking.bm25(df, v, 2 * k) for v in ranking.expand_query(text)]
-        scored = legs[0].orderBy(F.desc("score"), F.desc("seq")).limit(k) if len(legs) == 1 else ranking.rrf(legs, k)
-        out = df.join(scored, "seq")
-        out = out.withColumn("_rank", F.row_number().over(W.orderBy(F.desc("score"), F.desc("seq"))).cast("long"))
+            legs += [ranking.bm25(df, v, wide) for v in ranking.expand_query(text)]
+        if _subject(r.where):
+            legs.append(df.orderBy(F.desc("seq")).limit(wide).select("seq", F.col("seq").cast("double").alias("score")))
+        if semantic:
+            like = self.embed(text)
+            vectors = self.vectors.join(df.select("seq"), "seq", "left_semi")
+            legs.append(ranking.nearest(vectors, like, wide, "seq").withColumnRenamed("similarity", "score"))
+        scored = legs[0] if len(legs) == 1 else ranking.rrf(legs, wide)
+        place = F.row_number().over(W.orderBy(F.desc("score"), F.desc("seq"))).cast("long")
+        out = df.join(scored, "seq").withColumn("_rank", place)
+        if again:
+            out = ranking.rerank(out, text, self.scorer)
+        elif spread:
+            out = ranking.diversified(out, self.vectors, like, k, float((options["diversity"] or [0.5])[0]))
+        out = out.filter(F.col("_rank") <= k)
         dedup = (options.get("dedup") or [None])[0]
         return ranking.dedup_by(out, dedup) if dedup else out
 
@@ -253,6 +273,7 @@ class Memory:
 
     def on_Assemble(self, s: A.Assemble, q, bound) -> DataFrame:
         budget, labels, parts = s.budget or assemble.DEFAULT_BUDGET, [x.label for x in s.sources], []
+        relevant: list[str] = []  # sources whose scores say how well a row fits
         wanted = [c for c in (*COLUMNS, "score", "_rank")]
         for i, x in enumerate(s.sources):
             if x.literal is not None:
@@ -263,6 +284,8 @@ class Memory:
                 one = self.run(x.query, bound)
             one = one.select(*[F.col(c) if c in one.columns else F.lit(None).cast(COLUMNS.get(c, "double")).alias(c) for c in wanted])
             parts.append(one.withColumns({"source": F.lit(x.label), "_source_no": F.lit(i)}))
+            if x.query is not None and getattr(x.query.statement, "about", None) is not None:
+                relevant.append(x.label)
         rows = reduce(lambda a, b: a.unionByName(b), parts)
         by = (q.options.get("dedup") or [None])[0] if "dedup" in q.options else None
         first = sorted(labels, key=lambda x: -s.priority.get(x, 0.0)) if by else labels
@@ -278,7 +301,14 @@ class Memory:
         alloc = assemble.allocate(labels, s.priority, budget, cost)
         out = assemble.budget_prefix(rows, alloc, pins)
         out = out.withColumn("allocated", F.element_at(F.create_map(*[x for k, v in alloc.items() for x in (F.lit(k), F.lit(v))]), F.col("source")))
-        return out.withColumn("_rank", F.col("_source_no").cast("long") * (1 << 41) + F.col("_rank"))
+        out = out.withColumn("_rank", F.col("_source_no").cast("long") * (1 << 41) + F.col("_rank"))
+        if "conflict_resolution" in q.options:
+            out = versions.conflict_resolution(out)
+        if "min_score" in q.options:
+            out = out.filter(~F.col("source").isin(relevant) | (F.col("score") >= float(q.options["min_score"][0])))
+        if "diversity" in q.options:
+            out = out.withColumn("_rank", F.row_number().over(W.orderBy(F.desc("score"), "_rank")).cast("long"))  # CAP rows at most
+        return out
 
     def on_Explain(self, s: A.Explain, q, bound) -> DataFrame:
         inner = s.query.statement
@@ -416,6 +446,11 @@ class Memory:
         self.templates[s.name] = s
         return self.on_Describe(A.Describe("templates"), q, bound)
 
+    def meta(self, prefix: str) -> DataFrame:
+        """(key, value) of the registry's entries whose key, qry:name or tpl:name, starts with prefix as it is written."""
+        entries = [(f"qry:{n}", v.body) for n, v in self.queries.items()] + [(f"tpl:{n}", json.dumps(v.sections)) for n, v in self.templates.items()]
+        return self.spark.createDataFrame(entries, "key string, value string").filter(F.startswith("key", F.lit(prefix)))
+
     def on_Drop(self, s: A.Drop, q, bound) -> DataFrame:
         (self.queries if s.kind == "query" else self.templates).pop(s.name, None)
         return self.on_Describe(A.Describe("queries" if s.kind == "query" else "templates"), q, bound)
@@ -445,6 +480,13 @@ def _namespace(cond) -> str | None:
     return None
 
 
+def _subject(cond) -> bool:
+    """Whether a condition names one subject."""
+    if isinstance(cond, A.Both):
+        return _subject(cond.left) or _subject(cond.right)
+    return isinstance(cond, A.Compare) and cond.op == "=" and cond.field == "subject"
+
+
 def _anchored(cond) -> bool:
     if isinstance(cond, A.Both):
         return _anchored(cond.left) or _anchored(cond.right)

@@ -178,3 +178,27 @@ def governance_status(recs: DataFrame, audit: DataFrame) -> DataFrame:
     """Each recommendation's state: that of its last audit event, else pending."""
     last = audit.groupBy("dedup_key").agg(F.max_by("action", F.struct("at", "seq")).alias("status"))
     return recs.join(last, "dedup_key", "left").withColumn("status", F.coalesce("status", F.lit("pending")))
+
+
+def external(grains: DataFrame, command: list[str], now_ms: int, watermark_ms: int = 0, most: int = 2000, timeout: float = 60.0) -> DataFrame:
+    """Findings (target, summary, severity, evidence, confidence) of a command that reads grains as JSON and answers in JSON.
+
+    The command gets the newest live grains, as many as most, on its standard
+    input.  One that can not be run, fails, is late or answers no JSON finds
+    nothing; findings without a target or summary are dropped.
+    """
+    import json
+    import subprocess
+
+    spark, shape = grains.sparkSession, "target string, summary string, severity string, evidence array<string>, confidence double"
+    rows = grains.filter("superseded_by is null").orderBy(F.desc("created_at"), F.desc("seq")).limit(most).collect()
+    own = ("hash", "grain_type", "ns", "created_at")
+    told = [{"hash": r["hash"], "grain_type": r["grain_type"], "namespace": r["ns"], "created_at_ms": r["created_at"], "fields": {k: v for k, v in r.asDict().items() if v is not None and k not in own}} for r in rows]
+    question = json.dumps({"loop_analyzer": 1, "op": "analyze", "now_ms": now_ms, "watermark_ms": watermark_ms, "grains": told}, default=str)
+    try:
+        done = subprocess.run(command, input=question, capture_output=True, text=True, timeout=timeout, check=True)
+        found = json.loads(done.stdout)["findings"]
+        good = [(f["target"], f["summary"], f.get("severity", "low"), f.get("evidence", []), float(f.get("confidence", 0.0))) for f in found if f.get("target") and f.get("summary")]
+    except (OSError, subprocess.SubprocessError, ValueError, KeyError, TypeError, AttributeError):
+        good = []
+    return spark.createDataFrame(good, shape)

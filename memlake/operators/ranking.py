@@ -16,6 +16,7 @@ from ..functions.text import jaccard, tokens, word_bigrams
 
 K1, B = 1.2, 0.75
 RRF = 60
+POOL = 64
 NEAR_DUPLICATE = 0.85
 
 # For each English word the words that may stand for it in query expansion.
@@ -149,6 +150,17 @@ def mmr(pool: DataFrame, k: int, lam: float, id_: str = "vec_id", vector: str =
     return pool.withColumn("_one", F.lit(1)).groupBy("_one").applyInPandas(lambda p: pick(p), f"{id_} {kind}, {relevance} double, place int")
 
 
+def diversified(pool: DataFrame, vectors: DataFrame, like: list[float], k: int, lam: float) -> DataFrame:
+    """A pool with _rank by maximal marginal relevance to a vector; rows without a vector follow in their own order."""
+    q = F.array(*[F.lit(float(x)) for x in like])
+    own = vectors.filter(F.size("embedding") == len(like)).join(pool.select("seq"), "seq", "left_semi")
+    own = own.select("seq", "embedding", cosine(F.transform("embedding", lambda x: x.cast("double")), q).alias("similarity"))
+    chosen = mmr(own, k, lam, "seq").select("seq", "place")
+    out = pool.join(chosen, "seq", "left")
+    order = W.orderBy(F.col("place").asc_nulls_last(), "_rank")
+    return out.withColumn("_rank", F.row_number().over(order).cast("long")).drop("place")
+
+
 def dedup_by(rows: DataFrame, name: str) -> DataFrame:
     """The first row of each value in rank order; rows without one stay."""
     w = W.partitionBy(name).orderBy("_rank")
@@ -201,4 +213,4 @@ def rerank(pool: DataFrame, query: str, scorer, text: str = "text") -> DataFrame
     return scored.withColumn("_rank", F.row_number().over(W.orderBy(F.desc("score"), F.desc("seq"))).cast("long"))
 
 
-__all__ = ["bm25", "cosine", "dedup_by", "expand_query", "jaccard", "mmr", "multi_hop", "near_duplicates", "nearest", "postings", "recency_weight", "rerank", "rrf"]
+__all__ = ["bm25", "cosine", "dedup_by", "diversified", "expand_query", "jaccard", "mmr", "multi_hop", "near_duplicates", "nearest", "postings", "recency_weight", "rerank", "rrf"]

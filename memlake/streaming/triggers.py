@@ -1,4 +1,4 @@
-"""Composite triggers, schedules and backoff."""
+"""Composite triggers, schedules, backoff, leases and deliveries."""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .feed import run_id
+
 MAX_STEPS = 10_000
 
 
@@ -123,6 +125,54 @@ def occurrences(schedules: DataFrame, now_ms: int) -> DataFrame:
     return due.select("trigger", F.explode(F.transform(steps, lambda i: F.col("last_run_ms") + i * F.col("interval_ms"))).alias("at_ms"))
 
 
+def admitted(due: DataFrame, state: DataFrame, now_ms: int) -> DataFrame:
+    """Due (trigger, concurrency, ...) with starts, and cancels: the holder of a running firing that gives way.
+
+    A firing runs while its lease (trigger, holder, lease_until) lasts.  forbid,
+    which also stands for none, skips the new firing then, allow starts it beside
+    the other, and replace in its place.
+    """
+    held = state.filter(F.col("lease_until") > now_ms).select("trigger", F.col("holder").alias("_holder"))
+    rows = due.join(held, "trigger", "left")
+    policy, running = F.coalesce("concurrency", F.lit("forbid")), F.col("_holder").isNotNull()
+    return rows.withColumns({"starts": ~running | policy.isin("allow", "replace"), "cancels": F.when(running & (policy == "replace"), F.col("_holder"))}).drop("_holder")
+
+
+def claim(state: DataFrame, claims: DataFrame, now_ms: int, ttl_ms: int) -> DataFrame:
+    """The lease state (trigger, holder, lease_until, version) after claims (trigger, node, version).
+
+    A claim holds if it names the state's present version and no other node's
+    lease lasts; of several the first node by name has it.  Each success raises
+    the version, so that whoever acts on an old one changes nothing.
+    """
+    c = claims.withColumnRenamed("version", "_seen").join(state, "trigger")
+    free = F.col("lease_until").isNull() | (F.col("lease_until") <= now_ms) | F.col("holder").eqNullSafe(F.col("node"))
+    won = c.filter((F.col("_seen") == F.col("version")) & free).groupBy("trigger").agg(F.min("node").alias("_node"))
+    out, new = state.join(won, "trigger", "left"), F.col("_node").isNotNull()
+    return out.withColumns({"holder": F.coalesce("_node", "holder"), "lease_until": F.when(new, F.lit(now_ms + ttl_ms)).otherwise(F.col("lease_until")), "version": F.col("version") + new.cast("int")}).drop("_node")
+
+
+def delivered(triggers: DataFrame, deliveries: DataFrame, runs: DataFrame) -> DataFrame:
+    """(delivery, trigger, run_id, outcome) of pushed deliveries (delivery, trigger, payload).
+
+    triggers has (trigger, kind, enabled, paused, connector, pointers).  refused:
+    no such trigger, none that takes deliveries (webhook, manual), or one that
+    is off; unidentifiable: a pointer finds nothing, or there is none;
+    duplicate: the run is known, or started by an earlier delivery here.
+    """
+    d = deliveries.join(triggers, "trigger", "left")
+    parts = F.expr("transform(pointers, p -> get_json_object(payload, concat('$', replace(p, '/', '.'))))")
+    whole = (F.size("pointers") > 0) & ~F.exists(parts, lambda x: x.isNull())
+    takes = F.col("kind").isin("webhook", "manual") & F.col("enabled") & ~F.col("paused")
+    d = d.withColumn("_takes", F.coalesce(takes, F.lit(False)))
+    d = d.withColumn("run_id", F.when(F.col("_takes") & whole, run_id(F.col("trigger"), F.col("connector"), F.array_join(parts, "\u001f"))))
+    d = d.join(runs.select("run_id", F.lit(True).alias("_known")).distinct(), "run_id", "left")
+    first = d.filter("run_id is not null").groupBy("run_id").agg(F.min("delivery").alias("_first"))
+    d = d.join(first, "run_id", "left")
+    outcome = F.when(~F.col("_takes"), "refused").when(F.col("run_id").isNull(), "unidentifiable").when(F.col("_known") | (F.col("_first") != F.col("delivery")), "duplicate").otherwise("started")
+    return d.select("delivery", "trigger", "run_id", outcome.alias("outcome"))
+
+
 SPANS = [(0, 59), (0, 23), (1, 31), (1, 12), (0, 7)]
 # Names of months and of days of the week in cron expressions.
 MONTHS = "JAN FEB MAR APR MAY JUN JUL AUG SEP OCT NOV DEC".split()
