@@ -6,7 +6,8 @@ near them only and come back, however far a passage is shifted, and no two
 boundaries, nor a boundary and a text's end, are one line apart.  A line of
 LONG_LINE words or more is a chunk of its own.  A chunk can be removed if it has two lines or more that
 are not blank, or is such a long line; of all its occurrences in all documents
-the first, in the document of the smallest doc_id, stays.
+the first, in the document of the smallest doc_id (null last; of equal ones
+the smallest text hash), stays.
 
 Repeated chunks are found by grouping on the chunk's bytes, so equal means
 byte-equal; the verified groups go back to the documents by the chunks' 128-bit
@@ -15,9 +16,11 @@ rows share costs one row per task.  The documents' texts are shuffled twice, as
 chunks and for the join with the removals.
 
 Defined cases: null text stays null; a text without lines to remove is returned
-byte for byte; rows of one doc_id count as one document and are treated alike
-(a null doc_id too); other columns stay, and where one is called like a new one,
-the new one gets underscores before it; an empty table gives an empty result.
+byte for byte; equal rows of one doc_id count as one document and are treated
+alike, rows of one doc_id (or of null) with different texts as different
+documents, so that no list grows with the rows that share an id; other columns
+stay, and where one is called like a new one, the new one gets underscores
+before it; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -99,7 +102,7 @@ def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         digests.append(d)
                         texts.append(raw[s:e])
                         counts.append(1)
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").take(pa.array(rows, pa.int64())), "digest": pa.array(digests, pa.binary()), "chunk": pa.array(texts, pa.binary()), "n": pa.array(counts, pa.int64())})
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").take(pa.array(rows, pa.int64())), "_at": batch.column("_at").take(pa.array(rows, pa.int64())), "digest": pa.array(digests, pa.binary()), "chunk": pa.array(texts, pa.binary()), "n": pa.array(counts, pa.int64())})
 
 
 def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,14 +140,17 @@ def dedup_lines(docs: DataFrame, lines: str = "n_lines", removed: str = "n_remov
     """docs with repeated chunks taken out of text, and last two columns more: lines before, and lines removed."""
     from pyspark.sql import types as T
 
-    found = docs.select("doc_id", "text").mapInArrow(_emit, "doc_id long, digest binary, chunk binary, n long")
-    groups = found.groupBy("digest", "chunk").agg(F.sum("n").alias("n"), F.min("doc_id").alias("owner"))
+    at = F.xxhash64("text")  # with doc_id it names a document
+    found = docs.select("doc_id", "text", at.alias("_at")).mapInArrow(_emit, "doc_id long, _at long, digest binary, chunk binary, n long")
+    name = F.struct(F.isnull("doc_id").alias("none"), "doc_id", "_at")
+    groups = found.groupBy("digest", "chunk").agg(F.sum("n").alias("n"), F.min(name).alias("owner"))
     repeated, _ = cut(groups.filter("n > 1").select(F.col("digest").alias("_d"), "owner"))
-    hits = found.select("doc_id", "digest").join(repeated, F.col("digest") == F.col("_d"))
-    own = F.col("doc_id").eqNullSafe(F.col("owner"))
-    per = hits.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.when(~own, F.col("digest"))).alias("_gone"), F.collect_list(F.when(own, F.col("digest"))).alias("_once"))
+    hits = found.select("doc_id", "_at", "digest").join(repeated, F.col("digest") == F.col("_d"))
+    own = F.col("doc_id").eqNullSafe(F.col("owner.doc_id")) & (F.col("_at") == F.col("owner._at"))
+    # sets, as equal rows find the same; a set is no larger than one text's chunks
+    per = hits.groupBy(F.col("doc_id").alias("_id"), F.col("_at").alias("_own")).agg(F.collect_set(F.when(~own, F.col("digest"))).alias("_gone"), F.collect_set(F.when(own, F.col("digest"))).alias("_once"))
     rows = packed(docs, "doc_id", "text")
-    joined = rows.join(per, rows["doc_id"].eqNullSafe(per["_id"]), "left").drop("_id")
+    joined = rows.join(per, rows["doc_id"].eqNullSafe(per["_id"]) & (F.xxhash64(rows["text"]) == per["_own"]), "left").drop("_id", "_own")
     schema = T.StructType([rows.schema["doc_id"], rows.schema["_rest"], rows.schema["text"], T.StructField("_lines", T.LongType()), T.StructField("_removed", T.LongType())])
     out = joined.mapInArrow(_rebuild, schema)
     return out.select(*unpacked(rows, docs.columns), F.col("_lines").alias(free_name(docs.columns, lines)), F.col("_removed").alias(free_name(docs.columns, removed)))

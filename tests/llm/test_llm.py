@@ -705,3 +705,14 @@ def test_registered_queries(spark):
     assert {f"op{i}_" for i in range(1, 11)} <= {m[0] for n in e.queries() if (m := re.match(r"op\d+_", n))} and "pipeline" in e.queries()
     for n in queries.QUERIES:
         assert queries.QUERIES[n](spark, SF).columns
+
+
+def test_lines_of_rows_without_or_with_one_id(spark):
+    """Different texts under one id (or none) are different documents; equal rows of one id are one."""
+    passage = "\n".join(f"shared line {i} with the same few words" for i in range(6))
+    rows = [(None, f"{passage}\nfirst of its own kind\nand one more"), (None, f"{passage}\nsecond of another kind\nand two more"), (7, f"{passage}\nthird\nand three more"), (7, f"{passage}\nthird\nand three more"), (7, f"{passage}\nfourth\nand four more")]
+    out = lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {(r["doc_id"], r["text"].split("\n")[-1]): r["text"].count("shared line 2") for r in out.collect()}
+    assert out.count() == 5 and len(got) == 4
+    assert got[None, "and one more"] == got[None, "and two more"] == 0  # the smallest id keeps it
+    assert got[7, "and three more"] + got[7, "and four more"] == 1
