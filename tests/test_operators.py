@@ -254,3 +254,28 @@ def test_set_operations_are_not_cut(spark, monkeypatch):
     assert rows("set_union") == list(range(3600))
     assert rows("set_intersect") == list(range(1400, 1600))
     assert rows("set_except") == list(range(1400))
+
+
+def test_supersession_pairs_with_keys_over_a_million(spark, tmp_path):
+    """Against the query's SQL, where orders of one day have keys on both sides of a multiple of a million."""
+    import datetime
+
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    day = datetime.datetime(1996, 5, 1)
+    rows = [(999_999, 7, "O", 1.0, day, "x"), (1_000_001, 7, "O", 1.0, day, "x"), (2_000_003, 7, "O", 1.0, day, "x"), (5, 8, "O", 1.0, day, "x"), (6, 8, "O", 1.0, day, "x"), (7, 9, "O", 1.0, day, "x")]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view orders as select * from '{tmp_path}/orders.parquet/*.parquet'")
+    for name in ("customer", "nation", "supplier", "conversations", "events"):
+        con.sql(f"create view {name} as select * from '/root/testdata/sf0.001/{name}.parquet'")
+    want = con.sql(entry.oracle_sql()["supersession_pairs"]).fetchall()
+    got = entry.queries()["supersession_pairs"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == sorted(want) and len(want) == 2
+    # the operator's own order is that of (created_at, seq)
+    from memlake.sources import tables as T
+
+    by = {r["subject"]: (r["oldest"], r["newest"]) for r in versions.supersession_pairs(T.order_versions(spark, str(tmp_path))).collect()}
+    assert by["customer:7"] == ("order:999999", "order:2000003")
