@@ -14,13 +14,19 @@ A document's set holds its distinct K-word shingles.  Documents link when
    linked sets share one (prefix filter).  Thus no link is lost.  Of a key only
    the edges to its smallest member are kept, as many as rows.
 3. The candidate edges' components are the groups that are partitioned further:
-   by size class, and by hash into blocks of at most about BLOCK sets.
-4. A task takes one pair of blocks.  Its sets are dealt into small groups of
-   similar ones; for each group the union of its tokens is stored, every set's
-   tokens in that union bound its overlap with any member, and only groups whose
-   bound reaches the least overlap are opened and counted exactly.
+   by size class, and by hash into blocks of at most about BLOCK sets and TOKENS
+   elements.  Only texts of grouped sets are read on: their ids' bits in a filter
+   of FILTER bits, whose false hits the join removes.  A block is packed once,
+   as the union of its elements and places in it, so near copies take a small
+   part of their elements' bytes, and only packed blocks are dealt to pairs.
+4. A task takes a block, then one pair of blocks.  Its sets are dealt into small
+   groups of similar ones; for each group the union of its tokens is stored,
+   every set's tokens in that union bound its overlap with any member, and only
+   groups whose bound reaches the least overlap are opened and counted exactly.
 5. The links' components give component_id.
 
+Each step's shuffles go when it ends, and its inputs as soon as they are read.
+
 Element and set hashes have 64 and 128 bits; texts are never compared in pairs
 outside their blocks, nor gathered on the driver.
 
@@ -42,12 +48,16 @@ from pyspark.sql import DataFrame, functions as F
 from . import textkit as tk
 from .arrays import pack, unpack
 from .components import components
-from .store import cut, width
+from .store import cut, drop, width
 
 K = 5
 PERCENT = 80
-BLOCK = 128
+BLOCK = 1024
+TOKENS = 1 << 19
 GROUP = 16
+CELLS = 1 << 22
+FILTER = 1 << 23
+BYTES = 1 << 20
 SPARE = 0.2
 _SEED_A, _SEED_B = np.uint64(0x632BE59BD9B4E019), np.uint64(0xE220A8397B1DCDAF)
 
@@ -133,12 +143,12 @@ def part_keys(h: np.ndarray, offsets: np.ndarray, classes: Classes) -> tuple[np.
 def _facts(docs: DataFrame, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in tk.blocks(batch.column("text")):
+            for block in tk.blocks(batch.column("text"), BYTES):
                 h, off = _sets(block, k)
                 a, b = _digests(h, off)
                 yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id")[block.first : block.first + len(block)], "n": np.diff(off), "d1": a, "d2": b})
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, d1 long, d2 long")
+    return docs.select("doc_id", "text").mapInArrow(tk.lean(run), "doc_id long, n long, d1 long, d2 long")
 
 
 def _shared_keys(docs: DataFrame, k: int, classes: Classes) -> DataFrame:
@@ -169,7 +179,7 @@ def _shared_keys(docs: DataFrame, k: int, classes: Classes) -> DataFrame:
             return pa.RecordBatch.from_pydict({"r": pa.array(rows, pa.int32()), "blob": pa.array(blobs, pa.binary())})
 
         for batch in batches:
-            for block in tk.blocks(batch.column("text")):
+            for block in tk.blocks(batch.column("text"), BYTES):
                 h, off = _sets(block, k)
                 d, _ = _digests(h, off)
                 fresh = np.array([x not in known and not known.add(x) for x in d.tolist()], dtype=bool) & (np.diff(off) > 0)
@@ -180,7 +190,7 @@ def _shared_keys(docs: DataFrame, k: int, classes: Classes) -> DataFrame:
                 held.append((keys[keep], (own[keep] + sets) << 1 | lab[keep], d, least))
                 sets += len(block)
                 count += int(keep.sum())
-                if count > 1_000_000:
+                if count > 500_000:
                     yield flush()
                     held, count, sets = [], 0, 0
         if count:
@@ -215,23 +225,28 @@ def _shared_keys(docs: DataFrame, k: int, classes: Classes) -> DataFrame:
             s = slice(i, i + 100_000)
             yield pa.RecordBatch.from_pydict({"key": key[s] << 14 | key[s] % 16381, "id": own[s], "lab": lab[s].astype(np.int32), "need": need[s].astype(np.int32)})
 
-    dealt = docs.select("doc_id", "text").mapInArrow(deal, "r int, blob binary")
-    return dealt.repartitionById(wide, F.col("r")).mapInArrow(meet, "key long, id long, lab int, need int")
+    dealt = docs.select("doc_id", "text").mapInArrow(tk.lean(deal), "r int, blob binary")
+    return dealt.repartitionById(wide, F.col("r")).mapInArrow(tk.lean(meet), "key long, id long, lab int, need int")
 
 
-def _candidates(docs: DataFrame, k: int, classes: Classes) -> DataFrame:
-    """(a, b): sets by digest that share keys, as edges to the smallest digest of each key.
+def _groups(docs: DataFrame, k: int, classes: Classes) -> DataFrame:
+    """(d1, grp): the components of sets by digest that share keys, from edges to the smallest digest of each key.
 
     A set that shares fewer keys with all others than a linked one would is
     left out first, so that sets which have only a common line in common do not
     hold groups together.
     """
-    shared, _ = cut(_shared_keys(docs, k, classes))
+    spark = docs.sparkSession
+    shared, p1 = cut(_shared_keys(docs, k, classes))
     enough = shared.groupBy("id", "lab").agg(F.count("*").alias("n"), F.max("need").alias("need")).filter("n >= need").select(F.col("id").alias("_i"), F.col("lab").alias("_l"))
-    enough, _ = cut(enough)
-    left, _ = cut(shared.join(enough, (F.col("id") == F.col("_i")) & (F.col("lab") == F.col("_l"))).select("key", "id"))
-    least, _ = cut(left.groupBy(F.col("key").alias("_k")).agg(F.min("id").alias("a")))
-    return left.join(least, F.col("key") == F.col("_k")).filter("a <> id").select("a", F.col("id").alias("b")).distinct()
+    enough, p2 = cut(enough)
+    left, p3 = cut(shared.join(enough, (F.col("id") == F.col("_i")) & (F.col("lab") == F.col("_l"))).select("key", "id"))
+    drop(spark, p1, p2)
+    least, p4 = cut(left.groupBy(F.col("key").alias("_k")).agg(F.min("id").alias("a")))
+    edges = left.join(least, F.col("key") == F.col("_k")).filter("a <> id").select("a", F.col("id").alias("b")).distinct()
+    groups = components(edges).withColumnsRenamed({"v": "d1", "root": "grp"})
+    drop(spark, p3, p4)
+    return groups
 
 
 def links_within(sizes: np.ndarray, tokens: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple[int, int]]:
@@ -277,17 +292,21 @@ def links_within(sizes: np.ndarray, tokens: list[np.ndarray], side: np.ndarray,
             opened &= np.isin(side, np.unique(1 - side[group]))
         queries = np.flatnonzero(opened)
         if len(queries):
-            row = np.full(m, -1, dtype=np.int64)
-            row[queries] = np.arange(len(queries))
-            mine = inside & opened[owner]
-            dense = np.zeros((len(queries), len(union)), dtype=np.float32)
-            dense[row[owner[mine]], at[mine]] = 1
-            common = np.rint(dense @ matrix.T).astype(np.int64)
-            good = 100 * common >= percent * (sizes[queries][:, None] + sizes[group][None, :] - common)
-            good &= place[queries][:, None] > place[group][None, :]
-            if across:
-                good &= side[queries][:, None] != side[group][None, :]
-            out += [(int(queries[a]), int(group[b])) for a, b in np.argwhere(good)]
+            mine = np.flatnonzero(inside & opened[owner])
+            step = max(1, CELLS // len(union))
+            for first in range(0, len(queries), step):
+                some = queries[first : first + step]
+                row = np.full(m, -1, dtype=np.int64)
+                row[some] = np.arange(len(some))
+                here = mine[row[owner[mine]] >= 0]
+                dense = np.zeros((len(some), len(union)), dtype=np.float32)
+                dense[row[owner[here]], at[here]] = 1
+                common = np.rint(dense @ matrix.T).astype(np.int64)
+                good = 100 * common >= percent * (sizes[some][:, None] + sizes[group][None, :] - common)
+                good &= place[some][:, None] > place[group][None, :]
+                if across:
+                    good &= side[some][:, None] != side[group][None, :]
+                out += [(int(some[a]), int(group[b])) for a, b in np.argwhere(good)]
         column[union] = -1
     return out
 
@@ -311,53 +330,117 @@ def _forest(m: int, links: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return kept
 
 
-def _verify(percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, rows = None, []
+def pack_block(ids: np.ndarray, tokens: list[np.ndarray]) -> bytes:
+    """A block's sets: the union of their elements, and each set as steps through it."""
+    sizes = np.array([len(t) for t in tokens], dtype=np.int64)
+    union, place = np.unique(np.concatenate(tokens), return_inverse=True)
+    steps = place.astype(np.int64)
+    steps[1:] -= place[:-1]
+    begins = np.cumsum(sizes) - sizes
+    steps[begins] = place[begins]
+    return pack(ids, sizes, union, steps)
+
+
+def unpack_block(raw: bytes) -> tuple[np.ndarray, list[np.ndarray]]:
+    ids, sizes, union, steps = unpack(raw)
+    sizes = sizes.astype(np.int64)
+    place = np.cumsum(steps.astype(np.int64))
+    begins = np.cumsum(sizes) - sizes
+    before = np.concatenate([[0], place])[begins]
+    return ids, np.split(union[place - np.repeat(before, sizes)], begins[1:])
+
+
+def _linked(ids: np.ndarray, tokens: list[np.ndarray], side: np.ndarray, percent: int) -> dict[str, pa.Array]:
+    sizes = np.array([len(t) for t in tokens], dtype=np.int64)
+    found = _forest(len(ids), links_within(sizes, tokens, side, percent)) if len(ids) > 1 else []
+    return {"a": pa.array([int(ids[a]) for a, _ in found], pa.int64()), "b": pa.array([int(ids[b]) for _, b in found], pa.int64())}
+
 
-        def close() -> tuple[list[int], list[int]]:
-            ids = [r[0] for r in rows]
-            tokens = [np.frombuffer(r[2], np.uint64) for r in rows]
-            sizes = np.array([len(t) for t in tokens], dtype=np.int64)
-            found = _forest(len(rows), links_within(sizes, tokens, np.array([r[1] for r in rows]), percent)) if len(rows) > 1 else []
-            return [ids[a] for a, _ in found], [ids[b] for _, b in found]
+_AT = ("grp", "cls", "me", "nb", "nb_up", "nb_down")
 
+
+def _pack(percent: int) -> tk.Run:
+    """Rows of sets, those of a block together: the links within each block, and the packed blocks that have others to meet."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows = None, {}
+
+        def close() -> Iterator[pa.RecordBatch]:
+            if not rows:
+                return
+            ids, tokens = np.array([v for v, _ in rows], dtype=np.int64), [np.frombuffer(t, np.uint64) for t in rows.values()]
+            found = _linked(ids, tokens, np.zeros(len(ids), np.int64), percent)
+            yield pa.RecordBatch.from_arrays([found["a"], found["b"], *[pa.nulls(len(found["a"]), t) for t in kinds]], names=names)
+            if now[3] + now[4] + now[5] > 1:
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), *[pa.array([x], t) for x, t in zip((*now, pack_block(ids, tokens)), kinds, strict=True)]], names=names)
+
+        names, kinds = ["a", "b", *_AT, "blob"], [pa.int64(), *[pa.int32()] * 5, pa.binary()]
         for batch in batches:
-            a, b = [], []
-            for key, v, side, tokens in zip(*(batch.column(c).to_pylist() for c in ("pair", "v", "side", "tokens")), strict=True):
+            at = zip(*(batch.column(c).to_pylist() for c in _AT), strict=True)
+            for key, v, d, tokens in zip(at, *(batch.column(c).to_pylist() for c in ("v", "d1", "tokens")), strict=True):
                 if key != now:
-                    x, y = close()
-                    a += x
-                    b += y
-                    now, rows = key, []
-                rows.append((v, side, tokens))
-            if a:
-                yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-        a, b = close()
-        yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+                    yield from close()
+                    now, rows = key, {}
+                rows[v, d] = tokens
+        yield from close()
+
+    return run
+
+
+def _verify(percent: int) -> tk.Run:
+    """The links between the two packed blocks of each pair."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, other = None, None
+        for batch in batches:
+            for i in range(batch.num_rows):
+                pair, blob = batch.column("pair")[i].as_py(), unpack_block(batch.column("blob")[i].as_py())
+                if pair != now:
+                    now, other = pair, blob
+                    continue
+                side = np.repeat([0, 1], [len(other[0]), len(blob[0])])
+                yield pa.RecordBatch.from_pydict(_linked(np.concatenate([other[0], blob[0]]), other[1] + blob[1], side, percent))
 
     return run
 
 
-def _tokens(docs: DataFrame, k: int) -> DataFrame:
-    """docs (doc_id, d1, text, and others) with the sets' elements; rows whose set is another than d1 go."""
-    from pyspark.sql import types as T
+def _bits(ids: np.ndarray) -> np.ndarray:
+    return (tk.mix(ids.astype(np.int64).view(np.uint64)) % np.uint64(FILTER)).astype(np.int64)
+
+
+def _filter(ids: DataFrame) -> np.ndarray:
+    """Which of FILTER bits the ids have; the driver gets a packed row from each task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(FILTER, dtype=bool)
+        for batch in batches:
+            bits[_bits(batch.column(0).to_numpy(zero_copy_only=False))] = True
+        yield pa.RecordBatch.from_pydict({"bits": pa.array([pack(np.packbits(bits))], pa.binary())})
+
+    out = np.zeros(FILTER // 8, dtype=np.uint8)
+    for r in ids.mapInArrow(run, "bits binary").toLocalIterator():
+        out |= unpack(bytes(r["bits"]))[0]
+    return out
+
+
+def _tokens(docs: DataFrame, k: int, wanted: np.ndarray) -> DataFrame:
+    """(v, d, tokens): the sets, with their digests, of rows whose doc_id has a wanted bit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[tuple[int, int]] = set()
         for batch in batches:
-            for block in tk.blocks(batch.column("text")):
+            at = _bits(batch.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False))
+            hit = (wanted[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+            batch = batch.filter(pa.array(hit & batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False)))
+            for block in tk.blocks(batch.column("text"), BYTES):
                 h, off = _sets(block, k)
                 d, _ = _digests(h, off)
+                ids = batch.column("doc_id")[block.first : block.first + len(block)]
                 raw = [h[off[i] : off[i + 1]].tobytes() for i in range(len(block))]
-                part = batch.slice(block.first, len(block))
-                out = {c: part.column(c) for c in batch.schema.names if c != "text"} | {"tokens": pa.array(raw, pa.binary())}
-                right = d == part.column("d1").to_numpy(zero_copy_only=False)
-                once = [bool(ok) and x not in done and not done.add(x) for ok, x in zip(right, zip(part.column("rep").to_pylist(), d.tolist(), strict=True), strict=True)]
-                yield pa.RecordBatch.from_pydict(out).filter(pa.array(once, pa.bool_()))
+                once = [x not in done and not done.add(x) for x in zip(ids.to_pylist(), d.tolist(), strict=True)]
+                yield pa.RecordBatch.from_pydict({"v": ids, "d": d, "tokens": pa.array(raw, pa.binary())}).filter(pa.array(once, pa.bool_()))
 
-    rest = [f for f in docs.schema.fields if f.name != "text"]
-    return docs.mapInArrow(run, T.StructType([*rest, T.StructField("tokens", T.BinaryType())]))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tk.lean(run), "v long, d long, tokens binary")
 
 
 def near_join(docs: DataFrame, k: int = K, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
@@ -365,34 +448,37 @@ def near_join(docs: DataFrame, k: int = K, percent: int = PERCENT, block: int =
     spark = docs.sparkSession
     classes, wide = Classes(percent), width(spark)
     facts, _ = cut(_facts(docs, k))
-    reps, _ = cut(facts.filter("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep")))
-    groups = components(_candidates(docs, k, classes)).withColumnsRenamed({"v": "d1", "root": "grp"})
+    reps, p1 = cut(facts.filter("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep")))
+    groups = _groups(docs, k, classes)
     label = F.floor(F.log(F.col("n")) / classes.ratio).cast("int")
-    placed, _ = cut(reps.filter("rep is not null").join(groups, "d1").withColumn("cls", label))
-    held = placed.groupBy("grp", "cls").agg(F.count("*").alias("cnt"))
+    placed, p2 = cut(reps.filter("rep is not null").join(groups, "d1").withColumn("cls", label))
+    held = placed.groupBy("grp", "cls").agg(F.count("*").alias("cnt"), F.sum("n").alias("sum"), F.max("n").alias("most"))
     # blocks of this class and of the next one up
-    held = held.withColumn("nb", F.ceil(F.col("cnt") / block).cast("int"))
+    size = F.least(F.lit(block), F.greatest(F.lit(8), F.floor(TOKENS / F.col("most"))))
+    held, p3 = cut(held.withColumn("nb", F.ceil(F.col("cnt") / size).cast("int")))
     up = held.select("grp", (F.col("cls") - 1).alias("cls"), F.col("nb").alias("nb_up"))
     down = held.select("grp", (F.col("cls") + 1).alias("cls"), F.col("nb").alias("nb_down"))
-    plan, _ = cut(held.join(up, ["grp", "cls"], "left").join(down, ["grp", "cls"], "left").fillna(0, ["nb_up", "nb_down"]))
-    total = placed.groupBy("grp").agg(F.count("*").alias("all"))
-    p = placed.join(plan, ["grp", "cls"]).join(cut(total)[0], "grp")
+    total = held.groupBy("grp").agg(F.sum("cnt").alias("all"), F.sum("sum").alias("elements"))
+    plan = held.join(up, ["grp", "cls"], "left").join(down, ["grp", "cls"], "left").fillna(0, ["nb_up", "nb_down"]).join(total, "grp")
+    plan, p4 = cut(plan.select("grp", "cls", "nb", "nb_up", "nb_down", ((F.col("all") <= block) & (F.col("elements") <= TOKENS)).alias("whole")))
     me = F.pmod(F.xxhash64("d2", "d1"), F.col("nb")).cast("int")
-    pair = lambda c, i, d, j: F.struct(c.cast("int").alias("c"), i.cast("int").alias("i"), d.cast("int").alias("d"), j.cast("int").alias("j"))
     zero = F.lit(0)
+    of = lambda c, alone=zero: F.when(F.col("whole"), alone).otherwise(c)
+    p = placed.join(plan, ["grp", "cls"]).select("rep", "d1", "grp", of(F.col("cls")).alias("cls"), of(me).alias("me"), of(F.col("nb"), F.lit(1)).alias("nb"), of(F.col("nb_up")).alias("nb_up"), of(F.col("nb_down")).alias("nb_down"))
+    rows = _tokens(docs, k, _filter(placed.select("rep"))).join(p, (F.col("v") == F.col("rep")) & (F.col("d") == F.col("d1"))).select(*_AT, "v", "d1", "tokens")
+    rows = rows.repartition(wide, "grp", "cls", "me").sortWithinPartitions("grp", "cls", "me", "v", "d1")
+    ints = ", ".join(f"{c} int" for c in _AT[1:])
+    packed, p5 = cut(rows.mapInArrow(tk.lean(_pack(percent)), f"a long, b long, grp long, {ints}, blob binary"))
+    pair = lambda c, i, d, j: F.struct(c.cast("int").alias("c"), i.cast("int").alias("i"), d.cast("int").alias("d"), j.cast("int").alias("j"))
     numbers = lambda n: F.when(n > 0, F.sequence(zero, n - 1)).otherwise(F.array().cast("array<int>"))
-    p = p.withColumn("me", me)
-    same = F.transform(numbers(F.col("nb")), lambda j: F.struct(pair(F.col("cls"), F.least("me", j), F.col("cls"), F.greatest("me", j)).alias("p"), F.when(j < F.col("me"), 1).when(j > F.col("me"), 0).otherwise(F.lit(0)).alias("side")))
+    same = F.transform(F.filter(numbers(F.col("nb")), lambda j: j != F.col("me")), lambda j: F.struct(pair(F.col("cls"), F.least("me", j), F.col("cls"), F.greatest("me", j)).alias("p"), F.when(j < F.col("me"), 1).otherwise(0).alias("side")))
     above = F.transform(numbers(F.col("nb_up")), lambda j: F.struct(pair(F.col("cls"), F.col("me"), F.col("cls") + 1, j).alias("p"), F.lit(0).alias("side")))
     below = F.transform(numbers(F.col("nb_down")), lambda j: F.struct(pair(F.col("cls") - 1, j, F.col("cls"), F.col("me")).alias("p"), F.lit(1).alias("side")))
-    whole = F.array(F.struct(pair(zero, zero, zero, zero).alias("p"), zero.alias("side")))
-    p = p.select("rep", "d1", "grp", F.when(F.col("all") <= block, whole).otherwise(F.concat(same, above, below)).alias("pairs"))
-    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(p, "rep")
-    rows = _tokens(texts.select("rep", "d1", "grp", "pairs", "text"), k)
-    rows = rows.select("rep", "tokens", "grp", F.explode("pairs").alias("x"))
-    rows = rows.select(F.xxhash64("grp", "x.p").alias("pair"), F.col("rep").alias("v"), F.col("x.side").alias("side"), "tokens")
-    links = rows.repartition(wide, "pair").sortWithinPartitions("pair", "v").mapInArrow(_verify(percent), "a long, b long")
-    found = components(links)
+    met = packed.filter("blob is not null").select("grp", F.explode(F.concat(same, above, below)).alias("x"), "blob")
+    met = met.select(F.struct("grp", "x.p").alias("pair"), F.col("x.side").alias("side"), "blob")
+    across = met.repartition(wide, "pair").sortWithinPartitions("pair", "side").mapInArrow(tk.lean(_verify(percent)), "a long, b long")
+    found = components(packed.filter("a is not null").select("a", "b").unionByName(across))
     labels, _ = cut(reps.join(found.select(F.col("v").alias("rep"), "root"), "rep", "left").select("d1", "d2", "n", F.coalesce("root", "rep").alias("component")))
+    drop(spark, p1, p2, p3, p4, p5)
     out = facts.join(labels, ["d1", "d2", "n"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))

@@ -395,6 +395,35 @@ def test_near_join(spark, docs, k, percent):
     assert got == brute_near(rows, k, percent)
 
 
+def test_near_join_deals_packed_blocks():
+    """Near copies' elements are dealt to pairs of blocks in a small part of their bytes, and come back as they were."""
+    tokens, rng = [], np.random.default_rng(5)
+    base = rng.integers(0, 1 << 63, 300).astype(np.uint64)
+    for i in range(64):
+        own = base.copy()
+        own[rng.integers(0, 300, i % 12)] = rng.integers(0, 1 << 63, i % 12).astype(np.uint64)
+        tokens.append(np.unique(own))
+    ids = np.arange(64, dtype=np.int64) - 5
+    raw = nearjoin.pack_block(ids, tokens)
+    got_ids, got = nearjoin.unpack_block(raw)
+    assert got_ids.tolist() == ids.tolist() and all((a == b).all() for a, b in zip(got, tokens, strict=True))
+    assert len(raw) * 5 < sum(t.nbytes for t in tokens)
+
+
+def test_shuffles_end_with_the_step(spark):
+    import time
+
+    from memlake.shared import CLEANUP, cut
+
+    held = lambda: {str(f) for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()) if "shuffle_" in str(f)}
+    before, conf = held(), spark.conf.get(CLEANUP)
+    df, _ = cut(spark.range(100_000).groupBy((F.col("id") % 1000).alias("k")).count())
+    until = time.time() + 20
+    while held() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not held() - before and df.count() == 1000 and spark.conf.get(CLEANUP) == conf
+
+
 def test_near_join_cases(spark, odd, none):
     got = nearjoin.near_join(odd).toPandas()
     assert len(got) == 9 and nearjoin.near_join(none).count() == 0
