@@ -36,6 +36,7 @@ from . import textkit as tk
 from .store import cut, free_name, packed, unpacked
 
 WINDOW = 2
+BYTES = 1 << 20
 LONG_LINE = 20
 
 
@@ -86,7 +87,7 @@ def chunks(block: tk.Block) -> list[list[tuple[int, int, int, bool]]]:
 
 def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for block in tk.blocks(batch.column("text")):
+        for block in tk.blocks(batch.column("text"), BYTES):
             raw = block.data.tobytes()
             rows, digests, texts, counts = [], [], [], []
             for i, found in enumerate(chunks(block)):
@@ -110,7 +111,7 @@ def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         text = batch.column("text")
         gone, once = batch.column("_gone"), batch.column("_once")
         new, removed, total = [], [], []
-        for block in tk.blocks(text):
+        for block in tk.blocks(text, BYTES):
             raw = block.data.tobytes()
             found = chunks(block)
             for i in range(len(block)):
@@ -141,7 +142,7 @@ def dedup_lines(docs: DataFrame, lines: str = "n_lines", removed: str = "n_remov
     from pyspark.sql import types as T
 
     at = F.xxhash64("text")  # with doc_id it names a document
-    found = docs.select("doc_id", "text", at.alias("_at")).mapInArrow(_emit, "doc_id long, _at long, digest binary, chunk binary, n long")
+    found = docs.select("doc_id", "text", at.alias("_at")).mapInArrow(tk.lean(_emit), "doc_id long, _at long, digest binary, chunk binary, n long")
     name = F.struct(F.isnull("doc_id").alias("none"), "doc_id", "_at")
     groups = found.groupBy("digest", "chunk").agg(F.sum("n").alias("n"), F.min(name).alias("owner"))
     repeated, _ = cut(groups.filter("n > 1").select(F.col("digest").alias("_d"), "owner"))
@@ -152,5 +153,5 @@ def dedup_lines(docs: DataFrame, lines: str = "n_lines", removed: str = "n_remov
     rows = packed(docs, "doc_id", "text")
     joined = rows.join(per, rows["doc_id"].eqNullSafe(per["_id"]) & (F.xxhash64(rows["text"]) == per["_own"]), "left").drop("_id", "_own")
     schema = T.StructType([rows.schema["doc_id"], rows.schema["_rest"], rows.schema["text"], T.StructField("_lines", T.LongType()), T.StructField("_removed", T.LongType())])
-    out = joined.mapInArrow(_rebuild, schema)
+    out = joined.mapInArrow(tk.lean(_rebuild), schema)
     return out.select(*unpacked(rows, docs.columns), F.col("_lines").alias(free_name(docs.columns, lines)), F.col("_removed").alias(free_name(docs.columns, removed)))
